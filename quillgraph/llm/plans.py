@@ -77,3 +77,34 @@ ORACLES = {
     "p2_found": _COPIES + "SELECT first_id, rel_id AS copy_id FROM g WHERE first_id <> rel_id",
     "p2_collapsed": _COPIES + "SELECT first_id, count(*) AS n_copies FROM g GROUP BY first_id",
 }
+
+
+# ---------------------------------------------------------------- 3 sentences, 4 pieces
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    from quillgraph.llm.sentences import split_sentences
+
+    return split_sentences(_t(spark, sf, "verifier_state"), "state_id", "original_text").select("state_id", "sent_start", "sent_end").distinct()
+
+
+def p3_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    from quillgraph.llm.sentences import split_sentences
+
+    return split_sentences(_t(spark, sf, "verifier_state"), "state_id", "original_text")
+
+
+def _pieces(spark: SparkSession, sf: str) -> DataFrame:
+    from quillgraph.llm.splitting import split_oversized
+
+    return split_oversized(_t(spark, sf, "verifier_state"), "state_id", "original_text")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _pieces(spark, sf).select("state_id", "cut_level").distinct()
+
+
+def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return _pieces(spark, sf)
+
+
+QUERIES |= {"p3_found": p3_found, "p3_sentences": p3_sentences, "p4_found": p4_found, "p4_pieces": p4_pieces}
