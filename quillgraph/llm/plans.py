@@ -108,3 +108,25 @@ def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES |= {"p3_found": p3_found, "p3_sentences": p3_sentences, "p4_found": p4_found, "p4_pieces": p4_pieces}
+
+
+# ---------------------------------------------------------------- 6 canonical list
+
+def _mapped(spark: SparkSession, sf: str) -> DataFrame:
+    from quillgraph.llm.canonical import map_to_list
+
+    return map_to_list(_t(spark, sf, "stored_entity"), "entity_id", "text", _t(spark, sf, "canonical_terms"), "ontology_id", "canonical_name", "synonyms")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _mapped(spark, sf).select("entity_id", F.col("canonical_id").alias("ontology_id"))
+
+
+def p6_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """Values that mean no entry, with their number of rows."""
+    rows = _t(spark, sf, "stored_entity")
+    miss = _mapped(spark, sf).where("canonical_id = 'UNMATCHED'").select("entity_id")
+    return rows.join(miss, "entity_id", "left_semi").groupBy(F.lower(F.trim("text")).alias("value")).agg(F.count("*").alias("n_rows"))
+
+
+QUERIES |= {"p6_found": p6_found, "p6_unmatched": p6_unmatched}
