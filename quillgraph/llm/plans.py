@@ -100,7 +100,7 @@ def _pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _pieces(spark, sf).select("state_id", "cut_level").distinct()
+    return _pieces(spark, sf).where("piece_no = 0").select("state_id", "cut_level").distinct()
 
 
 def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,3 +130,77 @@ def p6_unmatched(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES |= {"p6_found": p6_found, "p6_unmatched": p6_unmatched}
+
+
+# ---------------------------------------------------------------- 7 splits
+
+def _groups(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    from quillgraph.llm.group_split import nine_digits, related_groups
+
+    rows = _t(spark, sf, "results_bioc").select(nine_digits(F.col("document_id")).alias("document"), "abstract")
+    bare = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+    authors = _t(spark, sf, "doc_authors").select(
+        nine_digits(F.col("document_id")).alias("document"), bare("last_name").alias("l"), bare("fore_name").alias("f")).select(
+        "document", F.when((F.col("l") != "") & (F.col("f") != ""), F.concat_ws("|", "l", "f")).alias("key"))
+    text = F.trim(F.regexp_replace(F.lower("abstract"), r"[\s\p{Z}]+", " "))
+    sources = rows.select("document", F.when(text != "", F.sha2(text, 256)).alias("key"))
+    return rows, related_groups(rows, "document", [authors, sources])
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    from quillgraph.llm.group_split import assign_splits
+
+    rows, groups = _groups(spark, sf)
+    weights = rows.where("document is not null").groupBy("document").agg(F.count("*").alias("weight"))
+    split = assign_splits(groups, weights, ["train", "validation", "test"], [0.8, 0.1, 0.1])
+    return split.where("group_size > 1").select("group_id", F.col("document").alias("document_id"))
+
+
+def p7_splits(spark: SparkSession, sf: str) -> DataFrame:
+    from quillgraph.llm.group_split import assign_splits
+
+    rows, groups = _groups(spark, sf)
+    weights = rows.where("document is not null").groupBy("document").agg(F.count("*").alias("weight"))
+    return assign_splits(groups, weights, ["train", "validation", "test"], [0.8, 0.1, 0.1])
+
+
+_GROUPS = r"""
+WITH RECURSIVE r AS (
+  SELECT lpad(ltrim(regexp_extract(document_id, '([0-9]+)(?:\.0*)?\s*$', 1), '0'), 9, '0') AS d,
+         trim(regexp_replace(lower(abstract), '[\s\p{Z}]+', ' ', 'g')) AS t FROM results_bioc),
+a AS (
+  SELECT lpad(ltrim(regexp_extract(document_id, '([0-9]+)(?:\.0*)?\s*$', 1), '0'), 9, '0') AS d,
+         regexp_replace(lower(last_name), '[^\p{L}\p{N}]+', '', 'g') AS l, regexp_replace(lower(fore_name), '[^\p{L}\p{N}]+', '', 'g') AS f FROM doc_authors),
+k AS (SELECT DISTINCT d, 'a' || l || '|' || f AS k FROM a WHERE l <> '' AND f <> '' AND d IN (SELECT d FROM r)
+      UNION SELECT DISTINCT d, 'b' || t FROM r WHERE t <> ''),
+h AS (SELECT k, min(d) AS m FROM k GROUP BY k),
+e AS (SELECT DISTINCT k.d AS x, h.m AS y FROM k JOIN h USING (k) WHERE k.d <> h.m),
+s AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+reach AS (SELECT x AS d, x AS z FROM s UNION SELECT reach.d, s.y FROM reach JOIN s ON reach.z = s.x),
+g AS (SELECT d, min(z) AS g FROM reach GROUP BY d)
+"""
+QUERIES |= {"p7_found": p7_found, "p7_splits": p7_splits}
+ORACLES |= {"p7_found": _GROUPS + "SELECT g AS group_id, d AS document_id FROM g"}
+
+
+# ---------------------------------------------------------------- 8 containers
+
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    from quillgraph.llm.packing import byte_tokens, pack
+
+    return pack(_t(spark, sf, "documents"), "doc_id", byte_tokens(F.col("text")))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_containers(spark, sf).where("n_pieces > 1 and piece = 0").select("doc_id")
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Number of containers, tokens and unused share."""
+    bins = p8_containers(spark, sf).groupBy("container").agg(F.sum("size").alias("size"))
+    return bins.agg(F.count("*").alias("n_containers"), F.sum("size").alias("tokens"), F.max("size").alias("fullest"),
+                    F.round(1 - F.sum("size") / (F.count("*") * 4096), 6).alias("unused_share"))
+
+
+QUERIES |= {"p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill}
+ORACLES |= {"p8_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > 4096"}
