@@ -204,3 +204,18 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES |= {"p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill}
 ORACLES |= {"p8_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > 4096"}
+
+
+# ---------------------------------------------------------------- 9 leaks
+
+def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    from quillgraph.llm.leakage import find_leaks
+
+    return find_leaks(_t(spark, sf, "documents"), "doc_id", "text", _t(spark, sf, "benchmark"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_leaks(spark, sf).select("doc_id", "item_id").distinct()
+
+
+QUERIES |= {"p9_found": p9_found, "p9_leaks": p9_leaks}
