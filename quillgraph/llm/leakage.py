@@ -299,7 +299,8 @@ def _searcher(items: Items, keep: np.ndarray, content: np.ndarray, space: np.nda
             for lo in range(0, len(texts), 256):
                 _search_block(items, ids[lo:lo + 256], [items.encode(t) for t in texts[lo:lo + 256]], keep, content, space, damp, queries, owner, n_content, sets, min_share, out)
             if out[0]:
-                yield pa.RecordBatch.from_pydict({"doc": out[0], "item": out[1], "n_words": out[2], "share": out[3], "answer": out[4]})
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.bool_()), strict=True)],
+                                                names=["doc", "item", "n_words", "share", "answer"])
     return run
 
 
