@@ -219,3 +219,40 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES |= {"p9_found": p9_found, "p9_leaks": p9_leaks}
+
+
+# ---------------------------------------------------------------- 10 quality
+
+def p10_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    from quillgraph.llm.quality import classify_kind
+
+    return classify_kind(_t(spark, sf, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_kinds(spark, sf).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    from quillgraph.llm.quality import text_statistics
+
+    return text_statistics(_t(spark, sf, "documents"), "doc_id", "text")
+
+
+_PLAIN = "('the', 'of', 'and', 'in', 'to', 'a', 'was', 'were', 'with', 'for', 'by', 'on', 'that', 'as', 'at', 'from', 'but', 'not', 'is', 'no')"
+QUERIES |= {"p10_found": p10_found, "p10_kinds": p10_kinds, "p10_statistics": p10_statistics}
+ORACLES |= {"p10_statistics": rf"""
+WITH b AS (
+  SELECT doc_id, length(text) AS n_chars, len(regexp_extract_all(text, '[^ \t\n\r]+')) AS n_words,
+         length(regexp_replace(text, '[ \t\n\r]+', '', 'g')) AS solid,
+         length(regexp_replace(text, '[\p{{L}}\p{{M}}\p{{N}} \t\n\r]+', '', 'g')) AS sym,
+         len(regexp_extract_all(text, '[^\n]*[^ \t\n\r][^\n]*')) AS n_lines,
+         len(regexp_extract_all(text, '[.!?。！？।؟…]["”»)」』“]*[ \t\r]*(\n|\z)')) AS ended,
+         list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: w <> '') AS latin
+  FROM documents)
+SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, CAST(n_words AS BIGINT) AS n_words,
+       round(CASE WHEN n_words > 0 THEN CAST(solid AS DOUBLE) / n_words END, 6) AS mean_word_length,
+       round(CASE WHEN n_chars > 0 THEN CAST(sym AS DOUBLE) / n_chars END, 6) AS symbol_ratio,
+       CAST(n_lines AS BIGINT) AS n_lines, round(CASE WHEN n_lines > 0 THEN CAST(ended AS DOUBLE) / n_lines END, 6) AS line_end_share,
+       round(CASE WHEN len(latin) > 0 THEN CAST(len(list_filter(latin, lambda w: w IN {_PLAIN})) AS DOUBLE) / len(latin) END, 6) AS common_word_share
+FROM b"""}
