@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,8 @@ MAX_DOC_SHARE = 0.2
 CONTENT_SHARE = 0.05
 #: Candidate threshold on the damped cosine, and the damping norm as a share of the items' median.
 MIN_COSINE, DAMPING = 0.6, 0.8
+#: Distinct word triples that a candidate must share, as a share of the item's words.
+MIN_TRIPLES = 0.15
 #: Corpus documents in the sample that the latent space is fitted on.
 FIT_DOCS = 5_000
 #: Items per block.
@@ -117,13 +120,13 @@ class Items:
 
 def _doc_counter(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(len(items.vocab), np.int64)
-        n = 0
+        seen: Counter = Counter()
+        vocab, n = items.vocab.keys(), 0
         for b in batches:
             for text in b.column(0).to_pylist():
-                ids = np.unique(items.encode(text))
-                df[ids[ids >= 0]] += 1
+                seen.update(vocab & set(words(text)))
                 n += 1
+        df = np.array([seen.get(w, 0) for w in vocab], np.int64)
         hit = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"word": pa.array(np.append(hit, -1).astype(np.int32)), "n": pa.array(np.append(df[hit], n))})
     return run
@@ -283,6 +286,13 @@ def reproduced(item: np.ndarray, doc: np.ndarray, keep: np.ndarray) -> tuple[int
     return common_subsequence(item[i0:i1 + 1].tolist(), doc[j0:j1 + 1].tolist()), j0, j1 + 1
 
 
+def _triples(x: np.ndarray, base: int) -> list[int]:
+    """Codes of the consecutive known word triples."""
+    x = x.astype(np.int64)
+    a, b, c = x[:-2], x[1:-1], x[2:]
+    return ((a * base + b) * base + c)[(a >= 0) & (b >= 0) & (c >= 0)].tolist()
+
+
 def _searcher(items: Items, keep: np.ndarray, content: np.ndarray, space: np.ndarray, min_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ir, ic, owner, _ = passages(items.coded, keep)
@@ -291,34 +301,41 @@ def _searcher(items: Items, keep: np.ndarray, content: np.ndarray, space: np.nda
         damp = DAMPING * float(np.median(norm)) if len(norm) else 1.0
         queries = np.ascontiguousarray((z / np.maximum(norm, damp)[:, None]).T)
         owner = owner[have] if len(have) else owner
-        n_content = np.array([max(1, len(np.unique(x[content[x]]))) for x in items.coded])
-        sets = [frozenset(x[content[x]].tolist()) for x in items.coded]
+        triples = [frozenset(_triples(x, len(items.vocab))) for x in items.coded]
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             out: list[list] = [[], [], [], [], []]
             for lo in range(0, len(texts), 256):
-                _search_block(items, ids[lo:lo + 256], [items.encode(t) for t in texts[lo:lo + 256]], keep, content, space, damp, queries, owner, n_content, sets, min_share, out)
+                _search_block(items, ids[lo:lo + 256], [items.encode(t) for t in texts[lo:lo + 256]], keep, content, space, damp, queries, owner, triples, min_share, out)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.bool_()), strict=True)],
                                                 names=["doc", "item", "n_words", "share", "answer"])
     return run
 
 
-def _search_block(items, ids, coded, keep, content, space, damp, queries, owner, n_content, sets, min_share, out) -> None:
+def _search_block(items, ids, coded, keep, content, space, damp, queries, owner, triples, min_share, out) -> None:
     r, c, doc_of, start = passages(coded, keep)
     have, z = gather(r, c, space)
     if not len(have):
         return
-    z /= np.maximum(np.linalg.norm(z, axis=1), damp)[:, None]
+    norm = np.linalg.norm(z, axis=1)
+    strong = norm > MIN_COSINE * damp  # a weaker passage can't reach the threshold
+    have, z = have[strong], z[strong] / np.maximum(norm[strong], damp)[:, None]
     hits: dict[tuple[int, int], list[int]] = {}
     for lo in range(0, len(z), 2048):
         score = z[lo:lo + 2048] @ queries
-        p, q = np.nonzero(score > MIN_COSINE)
+        p, q = np.divmod(np.flatnonzero(score > MIN_COSINE), score.shape[1])
         for x, y in zip((lo + p).tolist(), owner[q].tolist(), strict=True):
             h = int(have[x])
             hits.setdefault((int(doc_of[h]), y), []).append(int(start[h]))
+    of_doc: dict[int, set[int]] = {}
     for (d, i), starts in hits.items():
         item, doc = items.coded[i], coded[d]
+        # a passage with a third of the item shares many of its word triples, even with a few edits in it
+        if d not in of_doc:
+            of_doc[d] = set(_triples(doc, len(items.vocab)))
+        if len(triples[i] & of_doc[d]) < MIN_TRIPLES * len(item):
+            continue
         best = (0, 0, 0)
         reach = len(item) + len(item) // 3
         done = -1
@@ -328,9 +345,7 @@ def _search_block(items, ids, coded, keep, content, space, damp, queries, owner,
             lo, hi = max(0, s - reach), min(len(doc), s + WINDOW + reach)
             done = s + WINDOW
             part = doc[lo:hi]
-            known = part[part >= 0]
-            shared = sets[i].intersection(known[content[known]].tolist())
-            if len(shared) < max(2, 0.1 * n_content[i]):
+            if len(triples[i].intersection(_triples(part, len(items.vocab)))) < MIN_TRIPLES * len(item):
                 continue
             n, a, e = reproduced(item, part, content)
             if n > best[0]:
