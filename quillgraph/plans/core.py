@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillgraph.plans import hierarchy_queries
+from quillgraph.plans import hierarchy_queries, text_queries
 
-_MODULES = [hierarchy_queries]
+_MODULES = [hierarchy_queries, text_queries]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
