@@ -182,7 +182,7 @@ ORACLES = {
  '' AS evidence FROM extracted_relationship WHERE subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL""",
     "prompts": r"""SELECT state_id, md5(e'List the relations stated in the text as a JSON list of subject, predicate, object, confidence and evidence.\n\nText: ' || original_text ||
  CASE WHEN lang IS NULL THEN '' ELSE e'\n\nAdditional context: ' || lang END) AS prompt_md5 FROM verifier_state""",
-    "query_blocks": """SELECT er_id, 'SELECT ' || rtrim(predicate, ' ') AS queries, 'https://example.org/?term=' || document_id || '[uid]' AS publication FROM extracted_relationship WHERE predicate IS NOT NULL""",
+    "query_blocks": """SELECT er_id, 'SELECT ' || predicate AS queries, 'https://example.org/?term=' || document_id || '[uid]' AS publication FROM extracted_relationship WHERE predicate IS NOT NULL""",
     "relation_rendering": r"""SELECT pmid, md5(array_to_string(list_sort(list_distinct(list(l))), e'\n')) AS rendered_md5, count(DISTINCT l) AS n
  FROM (SELECT pmid, subject || ' -> ' || action || ' -> ' || object AS l FROM relations WHERE subject IS NOT NULL AND action IS NOT NULL AND object IS NOT NULL) GROUP BY pmid""",
 }
