@@ -91,7 +91,7 @@ def enriched_text(spark, sf):
 
 def _triples(spark, sf):
     """Predicted and true triples of the evaluation rows; the time of a row is its id, and stands in for the confidence the table lacks."""
-    r = table(spark, sf, "results_bioc").withColumn("id", F.unix_micros("evaluated_at")).select(
+    r = table(spark, sf, "results_bioc").withColumn("id", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', evaluated_at)")).select(
         "id", T.eval_entity(F.col("entity1")).alias("s"), T.eval_entity(F.col("entity2")).alias("o"), T.eval_predicate(F.col("predicted_relation")).alias("pp"), T.eval_predicate(F.col("relation")).alias("gp"))
     p = r.where("s <> '' and o <> '' and pp <> 'no_relation'").select(F.col("id").alias("pred_id"), "s", F.col("pp").alias("p"), "o", ((F.col("id") % 1000) / 1000).alias("confidence"))
     g = r.where("s <> '' and o <> '' and gp <> 'no_relation'").select(F.col("id").alias("gold_id"), "s", F.col("gp").alias("p"), "o")

@@ -129,7 +129,7 @@ _CUR = r"""CASE WHEN regexp_matches(x, '^[A-Za-z]+:[0-9]+$') THEN x
  WHEN regexp_matches(x, '/obo/([A-Za-z]+)_([0-9]+)') THEN regexp_extract(x, '/obo/([A-Za-z]+)_([0-9]+)', 1) || ':' || regexp_extract(x, '/obo/([A-Za-z]+)_([0-9]+)', 2)
  ELSE x END"""
 _LEMMA = r"""array_to_string([CASE WHEN regexp_matches(w, '[a-z]{2}ies$') THEN regexp_replace(w, 'ies$', 'y') WHEN regexp_matches(w, '[a-z]{2}[^siu ]s$') THEN regexp_replace(w, 's$', '') ELSE w END
- FOR w IN string_split_regex(lower(trim(text)), ' +')], ' ')"""
+ FOR w IN string_split_regex(lower(trim(text, ' ')), ' +')], ' ')"""
 _STOP = "(" + ", ".join(f"'{w}'" for w in K.STOP_WORDS) + ")"
 _ARR = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
@@ -158,7 +158,7 @@ ORACLES = {
  CASE WHEN c LIKE '%s' AND length(c) > 3 THEN c[1:length(c) - 1] WHEN c NOT LIKE '%s' THEN c || 's' END, CASE WHEN bare <> c THEN bare END,
  CASE WHEN contains(c, '-') THEN replace(c, '-', ' ') END, CASE WHEN contains(c, '-') THEN replace(c, '-', '') END], lambda v: v IS NOT NULL)) AS variant FROM i""",
     "entity_variants": rf"""WITH b AS (SELECT entity_id, text, {_LEMMA} AS lemma, regexp_extract_all(text, '[a-zA-Z]*\([a-zA-Z]*\)') AS gs FROM stored_entity WHERE text IS NOT NULL),
- v AS (SELECT entity_id, list_distinct([lemma, array_to_string(list_filter(string_split_regex(trim(lemma), ' +'), lambda w: lower(w) NOT IN {_STOP}), ' '),
+ v AS (SELECT entity_id, list_distinct([lemma, array_to_string(list_filter(string_split_regex(trim(lemma, ' '), ' +'), lambda w: lower(w) NOT IN {_STOP}), ' '),
  CASE WHEN len(gs) > 0 THEN array_to_string(list_filter(flatten([string_split(regexp_replace(g, '\)$', ''), '(') FOR g IN gs]), lambda w: w <> ''), '-') ELSE text END,
  trim(regexp_replace(regexp_replace(text, '[!-/:-@\[-`{{-~]+', ' ', 'g'), ' +', ' ', 'g'))]) AS vs FROM b)
  SELECT entity_id, unnest(list_filter(vs, lambda x: x <> '')) AS variant FROM v""",
