@@ -38,7 +38,7 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread: Column, h
     hot = F.col(key).isin(heavy)
     lhs = left.withColumn("_qg_salt", F.when(hot, F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
     rhs = right.withColumn("_qg_salt", F.explode(
-        F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).cast("int"))
+        F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return lhs.join(rhs, [key, "_qg_salt"], how).drop("_qg_salt")
 
 

@@ -25,7 +25,7 @@ def read_lines(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
     """``pmid, text`` of every doc.txt."""
-    return spark.read.option("wholetext", True).text(f"{root}/*/doc.txt").select(_pmid(), F.col("value").alias("text"))
+    return spark.read.text(f"{root}/*/doc.txt", wholetext=True).select(_pmid(), F.col("value").alias("text"))
 
 
 def authors(lines: DataFrame) -> DataFrame:
