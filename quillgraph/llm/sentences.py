@@ -112,7 +112,7 @@ def _abbreviation(text: str, i: int, lo: int, nxt: int, hi: int) -> bool:
             return bool(re.match(r"(?:19|20)\d\d\b", text[nxt:nxt + 5]))
         return _starts(text, nxt, hi) is not True
     if low in _NEVER or re.sub(r"\s", "", low) in _NEVER:
-        if low in ("no", "nos", "nr", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec", "ref", "refs", "vol", "s", "art", "ex", "st",
+        if low in ("no", "nos", "nr", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec", "ref", "refs", "vol", "s", "art", "st",
                    "mm", "m", "ud", "ms", "co", "av"):
             if low in ("mm", "ms", "m") and re.search(r"\d\s*$", text[max(lo, i - len(token) - 4):i - len(token)]):
                 return False
