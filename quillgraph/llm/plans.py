@@ -142,7 +142,7 @@ def _groups(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     authors = _t(spark, sf, "doc_authors").select(
         nine_digits(F.col("document_id")).alias("document"), bare("last_name").alias("l"), bare("fore_name").alias("f")).select(
         "document", F.when((F.col("l") != "") & (F.col("f") != ""), F.concat_ws("|", "l", "f")).alias("key"))
-    text = F.trim(F.regexp_replace(F.lower("abstract"), r"[\s\p{Z}]+", " "))
+    text = F.regexp_replace(F.lower("abstract"), r"[\s\p{Z}]+", "")
     sources = rows.select("document", F.when(text != "", F.sha2(text, 256)).alias("key"))
     return rows, related_groups(rows, "document", [authors, sources])
 
@@ -167,7 +167,7 @@ def p7_splits(spark: SparkSession, sf: str) -> DataFrame:
 _GROUPS = r"""
 WITH RECURSIVE r AS (
   SELECT lpad(ltrim(regexp_extract(document_id, '([0-9]+)(?:\.0*)?\s*$', 1), '0'), 9, '0') AS d,
-         trim(regexp_replace(lower(abstract), '[\s\p{Z}]+', ' ', 'g')) AS t FROM results_bioc),
+         regexp_replace(lower(abstract), '[\s\p{Z}]+', '', 'g') AS t FROM results_bioc),
 a AS (
   SELECT lpad(ltrim(regexp_extract(document_id, '([0-9]+)(?:\.0*)?\s*$', 1), '0'), 9, '0') AS d,
          regexp_replace(lower(last_name), '[^\p{L}\p{N}]+', '', 'g') AS l, regexp_replace(lower(fore_name), '[^\p{L}\p{N}]+', '', 'g') AS f FROM doc_authors),
