@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -42,16 +43,25 @@ def composite(a: str, b: str) -> float:
     return score + 0.2 * len(s & t) / len(s | t) if s and t else score
 
 
-def weighted(a: str, b: str) -> float:
-    """Weighted ratio after the published scheme: full, sorted-token and, for texts of different length, scaled window ratios."""
+def weighted(a: str, b: str, least: float = 0.0) -> float:
+    """Weighted ratio after the published scheme: full, sorted-token and, for texts of different length, scaled window ratios.
+
+    A pair whose characters alone rule out ``least`` gives that upper bound instead.
+    """
     x, y = a.lower(), b.lower()
     if not x or not y:
         return 0.0
+    bound = SequenceMatcher(None, x, y, autojunk=False).quick_ratio()
+    if bound < least and max(len(x), len(y)) < 1.5 * min(len(x), len(y)):
+        return bound
     base = ratio(x, y)
     long = max(len(x), len(y)) / min(len(x), len(y))
     if long < 1.5:
         return max(base, 0.95 * token_sort(x, y))
     scale = 0.9 if long <= 8 else 0.6
+    shared = sum((Counter(x) & Counter(y)).values()) / min(len(x), len(y))
+    if max(scale * shared, bound) < least:  # no window of the longer text can reach it
+        return max(scale * shared, bound)
     return max(base, scale * partial(x, y), 0.95 * scale * partial(" ".join(sorted(x.split())), " ".join(sorted(y.split()))))
 
 
@@ -71,4 +81,8 @@ def _vector(fn):
 
 ratio_udf = _vector(ratio)
 composite_udf = _vector(composite)
-weighted_udf = _vector(weighted)
+
+
+def weighted_above(least: float):
+    """The weighted ratio, exact for pairs that reach ``least``."""
+    return _vector(lambda a, b: weighted(a, b, least))

@@ -9,33 +9,29 @@ GRAM = 3
 
 
 def _grams(c: Column, n: int) -> Column:
-    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))))
+    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))).otherwise(
+        F.array().cast("array<string>"))
 
 
 def contains_join(needles: DataFrame, needle: str, hay: DataFrame, text: str) -> DataFrame:
     """All pairs where ``text`` contains ``needle``; the columns of both sides (names must differ).
 
-    Exact, and no nested loop: each needle is looked up by its rarest character
-    triple among the texts, shorter needles by their single or double characters.
-    Null and empty needles and null texts give no pairs.
+    Exact, and no nested loop: each needle is looked up by the rarest of its
+    character triples among the texts (shorter needles by the whole needle's
+    length).  Only hashes travel with the triples; texts are joined to the
+    candidate pairs.  Null and empty needles and null texts give no pairs.
     """
-    n = needles.where(F.length(needle) > 0)
-    h = hay.where(F.col(text).isNotNull())
-    ids = h.withColumn("_qg_text", F.col(text))
-    size = F.least(F.length(needle), F.lit(GRAM))
-    out = None
-    for k in (1, 2, GRAM):
-        part = n.where(size == k)
-        grams = part.select(F.explode(_grams(F.col(needle), k)).alias("g")).distinct()
-        # only grams that some needle has are kept on the text side
-        hg = ids.select("*", F.explode(_grams(F.col("_qg_text"), k)).alias("_qg_g")).join(grams.withColumnRenamed("g", "_qg_g"), "_qg_g", "left_semi")
-        df = hg.groupBy("_qg_g").agg(F.count("*").alias("_qg_n"))
-        rare = part.select(F.col(needle), F.explode(_grams(F.col(needle), k)).alias("_qg_g")).join(df, "_qg_g").groupBy(needle).agg(
-            F.min(F.struct("_qg_n", "_qg_g")).getField("_qg_g").alias("_qg_g"))
-        chosen = part.join(rare, needle)
-        pairs = hg.join(chosen, "_qg_g").where(F.contains(F.col("_qg_text"), F.col(needle))).drop("_qg_g", "_qg_text")
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
+    n = needles.select(F.col(needle).alias("_qg_q")).where("length(_qg_q) > 0").distinct()
+    t = hay.select(F.col(text).alias("_qg_t")).where("_qg_t is not null").distinct()
+    sized = F.when(F.length("_qg_q") >= GRAM, _grams(F.col("_qg_q"), GRAM)).otherwise(F.array("_qg_q"))
+    mine = n.select("_qg_q", F.explode(F.array_distinct(sized)).alias("_qg_g"))
+    every = F.array_distinct(F.flatten(F.array(*[_grams(F.col("_qg_t"), k) for k in range(1, GRAM + 1)])))
+    theirs = t.select(F.xxhash64("_qg_t").alias("_qg_h"), F.explode(every).alias("_qg_g")).join(mine.select("_qg_g").distinct(), "_qg_g", "left_semi")
+    counts = theirs.groupBy("_qg_g").agg(F.count("*").alias("_qg_n"))
+    rare = mine.join(counts, "_qg_g").groupBy("_qg_q").agg(F.min(F.struct("_qg_n", "_qg_g")).getField("_qg_g").alias("_qg_g"))
+    found = theirs.join(rare, "_qg_g").select("_qg_h", "_qg_q").join(t.withColumn("_qg_h", F.xxhash64("_qg_t")), "_qg_h").where(F.contains("_qg_t", "_qg_q")).select("_qg_q", "_qg_t")
+    pairs = needles.join(found, F.col(needle) == F.col("_qg_q")).drop("_qg_q")
+    return pairs.join(hay, F.col("_qg_t") == F.col(text)).drop("_qg_t")
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:

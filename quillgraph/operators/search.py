@@ -17,6 +17,7 @@ from quillgraph.functions import constants as K
 from quillgraph.functions import similarity as S
 from quillgraph.functions.text import index_text, term_variants, token_set
 from quillgraph.operators.contains import contains_join, top_per_key
+from quillgraph.session import Scratch
 
 #: Queries per broadcast block of the vector search.
 VECTOR_BLOCK = 4096
@@ -104,7 +105,11 @@ def fuzzy_matches(queries: DataFrame, terms: DataFrame, least: float = 0.85, top
     uq = q.select("q").distinct().select("q", F.explode(keys(F.col("q"))).alias("k"))
     pairs = uq.join(t.select("id", "term", F.explode(keys(F.col("term"))).alias("k")), "k").select("q", "id", "term").distinct()
     size = F.least(F.length("q"), F.length("term")) / F.greatest(F.length("q"), F.length("term"))
-    near = pairs.where(size > 0.5).withColumn("confidence", S.weighted_udf("q", "term")).where(F.col("confidence") >= least)
+    # lossless: a ratio of r needs an edit distance of at most (1 - r) times both lengths; sorted tokens weigh 0.95
+    both = F.length("q") + F.length("term")
+    ordered = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
+    close = (F.levenshtein("q", "term") <= (1 - least) * both) | (F.levenshtein(ordered("q"), ordered("term")) <= (1 - least / 0.95) * both)
+    near = pairs.where(F.when(size > 1 / 1.5, close).otherwise(size > 0.5)).withColumn("confidence", S.weighted_above(least)("q", "term")).where(F.col("confidence") >= least)
     best = near.groupBy("q", "id").agg(F.max("confidence").alias("confidence"))
     return q.join(top_per_key(best, ["q"], [F.desc("confidence"), F.col("id")], top), "q").select("query_id", "id", "confidence")
 
@@ -114,13 +119,14 @@ def mapping_cascade(queries: DataFrame, terms: DataFrame, enough: int = 3, least
 
     Of several hits on a term the best counts; only confidences above ``least``; the best ``top`` per query.
     """
-    q = queries.select("query_id", "query")
+    scratch = Scratch(queries.sparkSession, "cascade")
+    q = scratch.keep(queries.select("query_id", "query"))
     few = lambda c: q.join(c.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= enough), "query_id", "left_anti")
-    found = exact_matches(q, terms)
+    found = scratch.keep(exact_matches(q, terms))
     if fuzzy:
-        found = found.unionByName(fuzzy_matches(few(found), terms))
-    found = found.unionByName(word_matches(few(found), terms))
-    found = found.unionByName(abbreviation_matches(q, terms))
+        found = scratch.keep(found.unionByName(fuzzy_matches(few(found), terms)))
+    found = scratch.keep(found.unionByName(word_matches(few(found), terms)))
+    found = scratch.keep(found.unionByName(abbreviation_matches(q, terms)))
     found = found.unionByName(partial_matches(few(found), terms))
     best = found.groupBy("query_id", "id").agg(F.max("confidence").alias("confidence")).where(F.col("confidence") > least)
     return top_per_key(best, ["query_id"], [F.desc("confidence"), F.col("id")], top)
