@@ -18,9 +18,9 @@ HEAVY_ROWS = 500_000
 MAX_HEAVY = 1024
 
 
-def heavy_keys(counts: DataFrame, key: str, count: str, total: int, rows: int = HEAVY_ROWS) -> list:
-    """Keys whose ``count`` exceeds ``max(rows, total / MAX_HEAVY)``: at most MAX_HEAVY values."""
-    limit = max(rows, total // MAX_HEAVY)
+def heavy_keys(counts: DataFrame, key: str, count: str, total: int, rows: int | None = None) -> list:
+    """Keys whose ``count`` exceeds ``max(rows, total / MAX_HEAVY)``: at most MAX_HEAVY values; ``rows`` defaults to HEAVY_ROWS."""
+    limit = max(HEAVY_ROWS if rows is None else rows, total // MAX_HEAVY)
     if total <= limit:
         return []
     return [r[0] for r in counts.where(F.col(count) > limit).select(key).collect()]

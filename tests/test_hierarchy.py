@@ -1,6 +1,9 @@
 import random
 
+import pytest
 from helpers import rows
+
+from quillgraph import skew
 from quillgraph.operators.hierarchy import descendant_pairs, descendants_of, hierarchy, links_from_lists
 
 
@@ -51,10 +54,12 @@ def test_shapes(spark):
     check(spark, [(f"n{i:03}", f"n{i - 1:03}" if i else None) for i in range(40)])
 
 
-def test_random(spark):
+@pytest.mark.parametrize("heavy", [500_000, 4])
+def test_random(spark, monkeypatch, heavy):
+    monkeypatch.setattr(skew, "HEAVY_ROWS", heavy)
     rnd = random.Random(3)
     ids = [f"v{i}" for i in range(120)]
-    check(spark, [(i, rnd.choice([None, *ids[:40]])) for i in ids])
+    check(spark, [(i, rnd.choice([None, *ids[:40]])) for i in ids] + [(f"kid{i}", ids[0]) for i in range(30)])
 
 
 def test_empty_and_extra_columns(spark):

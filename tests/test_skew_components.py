@@ -1,8 +1,10 @@
 import random
 
+import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
+from quillgraph import skew
 from quillgraph.operators.components import components
 from quillgraph.skew import checked_broadcast, heavy_keys, salted_lookup, segmented_prefix
 
@@ -47,7 +49,9 @@ def find(edges, nodes):
     return sorted((n, f(n)) for n in nodes)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("heavy", [500_000, 5])
+def test_components(spark, monkeypatch, heavy):
+    monkeypatch.setattr(skew, "HEAVY_ROWS", heavy)
     rnd = random.Random(5)
     shapes = [[(f"c{i:02}", f"c{i + 1:02}") for i in range(30)], [("hub", f"l{i}") for i in range(50)], [(f"r{rnd.randrange(60)}", f"r{rnd.randrange(60)}") for _ in range(50)], [("self", "self")], [("a", "b"), ("b", "a"), ("a", "b")]]
     edges = [e for s in shapes for e in s]
