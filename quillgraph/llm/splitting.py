@@ -37,7 +37,7 @@ def _words(text: str) -> list[str]:
 
 
 def units(text: str, limit: int) -> tuple[str, list[tuple[int, int]]]:
-    """The first level whose units all have at most ``limit`` characters, and those units."""
+    """The first level whose units all have at most ``limit`` characters, and those units (none listed for single characters)."""
     spans = paragraph_spans(text)
     if spans and all(b - a <= limit for a, b in spans):
         return "paragraph", spans
@@ -47,7 +47,7 @@ def units(text: str, limit: int) -> tuple[str, list[tuple[int, int]]]:
     spans = [m.span() for m in re.finditer(r"\S+", text)]
     if spans and all(b - a <= limit for a, b in spans):
         return "word", spans
-    return "char", [(i, i + 1) for i in range(len(text))]
+    return "char", []
 
 
 def _cosine(a: Counter, b: Counter) -> float:
