@@ -142,9 +142,11 @@ class Matcher:
                     n = edit_distance(word, cand, min(2, allowed(cand)))
                     if n <= allowed(cand):
                         got[cand] = n
-                for other in _respelled(word):
-                    if other in self.having or other in self.neutral:
-                        got[other] = min(1, got.get(other, 1))
+                for other in _respelled(word):  # at the cost of one edit, with at most one more beside it
+                    for cand in {c for d in _deletes(other, 1) for c in self.near_index.get(d, ())}:
+                        n = edit_distance(other, cand, 1)
+                        if n < allowed(cand) or n == 0:
+                            got[cand] = min(n + 1, got.get(cand, 9))
             if len(self.cache) > 200_000:
                 self.cache.clear()
             self.cache[word] = got
