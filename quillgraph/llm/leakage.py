@@ -8,8 +8,11 @@ Method: latent semantic retrieval.
    distributed power iteration: tasks add up sketches A'(AQ), the driver only
    orthonormalises a words-by-rank matrix.
 3. One pass over all documents projects every passage and searches the items'
-   passages by cosine.  The items are a stated query set and travel to the tasks
-   in blocks of bounded size.
+   passages by cosine.  A run that covers only part of a passage can stay below
+   the cosine threshold, so every document that shares enough word triples with
+   an item, looked up in an index of the items' triples, is a candidate as well.
+   The items are a stated query set and travel to the tasks in blocks of bounded
+   size.
 4. Candidates are verified in place: content words are aligned by longest common
    subsequence, the aligned span is compared word by word, and the share of the
    item's words found in order decides.  The item's answer is looked up as well.
@@ -41,7 +44,7 @@ MAX_DOC_SHARE = 0.2
 CONTENT_SHARE = 0.05
 #: Candidate threshold on the damped cosine, and the damping norm as a share of the items' median.
 MIN_COSINE, DAMPING = 0.6, 0.8
-#: Distinct word triples that a candidate must share, as a share of the item's words.
+#: Distinct word triples that a candidate must share, as a share of the item's words; a document that shares them is a candidate whatever its cosine.
 MIN_TRIPLES = 0.15
 #: Corpus documents in the sample that the latent space is fitted on.
 FIT_DOCS = 5_000
@@ -286,6 +289,26 @@ def reproduced(item: np.ndarray, doc: np.ndarray, keep: np.ndarray) -> tuple[int
     return common_subsequence(item[i0:i1 + 1].tolist(), doc[j0:j1 + 1].tolist()), j0, j1 + 1
 
 
+def longest_run(a: list, b: list) -> int:
+    """Length of the longest common run of consecutive words."""
+    where: dict = {}
+    for i, x in enumerate(a):
+        where.setdefault(x, []).append(i)
+    best, last = 0, {}
+    for y in b:
+        last = {i: last.get(i - 1, 0) + 1 for i in where.get(y, ())}
+        best = max(best, max(last.values(), default=0))
+    return best
+
+
+def telling(item: np.ndarray, passage: np.ndarray, content: np.ndarray, min_share: float) -> bool:
+    """Whether a passage holds more of the item than a phrase pattern: a run of half of ``min_share`` of its words, or half of the passage's content words (words that no item has count)."""
+    if longest_run(item.tolist(), passage.tolist()) >= min_share / 2 * len(item):
+        return True
+    rare = passage[(passage < 0) | content[np.maximum(passage, 0)]]
+    return common_subsequence(item[content[item]].tolist(), rare.tolist()) >= len(rare) / 2
+
+
 def _triples(x: np.ndarray, base: int) -> list[int]:
     """Codes of the consecutive known word triples."""
     x = x.astype(np.int64)
@@ -293,6 +316,50 @@ def _triples(x: np.ndarray, base: int) -> list[int]:
     return ((a * base + b) * base + c)[(a >= 0) & (b >= 0) & (c >= 0)].tolist()
 
 
+class TripleIndex:
+    """Items by word triple: sorted distinct codes and, for each, the items that hold it."""
+
+    def __init__(self, triples: list[frozenset[int]], base: int):
+        self.base, self.n_items = base, len(triples)
+        code = np.array([t for ts in triples for t in ts], np.int64)
+        item = np.repeat(np.arange(len(triples)), [len(ts) for ts in triples])
+        order = np.argsort(code, kind="stable")
+        self.codes, self.first, self.count = np.unique(code[order], return_index=True, return_counts=True)
+        self.items = item[order]
+
+    def shared(self, coded: list[np.ndarray], least: np.ndarray) -> dict[tuple[int, int], list[int]]:
+        """Positions of the shared triples of every (document, item) with at least ``least[item]`` distinct ones."""
+        gap = np.full(2, -1, np.int64)  # no triple crosses two documents
+        flat = np.concatenate([y for x in coded for y in (x, gap)])
+        lens = np.array([len(x) + 2 for x in coded], np.int64)
+        base = np.cumsum(lens) - lens
+        a, b, c = flat[:-2], flat[1:-1], flat[2:]
+        pos = np.flatnonzero((a >= 0) & (b >= 0) & (c >= 0))
+        code = (a[pos] * self.base + b[pos]) * self.base + c[pos]
+        if not len(self.codes) or not len(pos):
+            return {}
+        k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        known = self.codes[k] == code
+        pos, k = pos[known], k[known]
+        n = self.count[k]
+        row = np.repeat(np.arange(len(k)), n)
+        item = self.items[self.first[k][row] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        pos, k = pos[row], k[row]
+        doc = np.searchsorted(base, pos, side="right") - 1
+        pair = doc * self.n_items + item
+        order = np.lexsort((k, pair))
+        new_pair = np.flatnonzero(np.diff(pair[order], prepend=-1))
+        new_code = np.diff(k[order], prepend=-1) != 0
+        new_code[new_pair] = True
+        distinct = np.add.reduceat(new_code.astype(np.int64), new_pair) if len(new_pair) else new_pair
+        out = {}
+        for lo, hi, m in zip(new_pair.tolist(), [*new_pair[1:].tolist(), len(order)], distinct.tolist(), strict=True):
+            d, i = divmod(int(pair[order[lo]]), self.n_items)
+            if m >= least[i]:
+                out[d, i] = np.sort(pos[order[lo:hi]] - base[d]).tolist()
+        return out
+
+
 def _searcher(items: Items, keep: np.ndarray, content: np.ndarray, space: np.ndarray, min_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ir, ic, owner, _ = passages(items.coded, keep)
@@ -302,40 +369,38 @@ def _searcher(items: Items, keep: np.ndarray, content: np.ndarray, space: np.nda
         queries = np.ascontiguousarray((z / np.maximum(norm, damp)[:, None]).T)
         owner = owner[have] if len(have) else owner
         triples = [frozenset(_triples(x, len(items.vocab))) for x in items.coded]
+        index = TripleIndex(triples, len(items.vocab))
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             out: list[list] = [[], [], [], [], []]
             for lo in range(0, len(texts), 256):
-                _search_block(items, ids[lo:lo + 256], [items.encode(t) for t in texts[lo:lo + 256]], keep, content, space, damp, queries, owner, triples, min_share, out)
+                _search_block(items, ids[lo:lo + 256], [items.encode(t) for t in texts[lo:lo + 256]], keep, content, space, damp, queries, owner, triples, index, min_share, out)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.bool_()), strict=True)],
                                                 names=["doc", "item", "n_words", "share", "answer"])
     return run
 
 
-def _search_block(items, ids, coded, keep, content, space, damp, queries, owner, triples, min_share, out) -> None:
+def _search_block(items, ids, coded, keep, content, space, damp, queries, owner, triples, index, min_share, out) -> None:
+    least = np.array([MIN_TRIPLES * len(x) for x in items.coded])
+    # runs that cover only part of a passage: every document with enough of an item's triples, at their positions
+    hits = index.shared(coded, least)
     r, c, doc_of, start = passages(coded, keep)
     have, z = gather(r, c, space)
-    if not len(have):
-        return
+    near: set[tuple[int, int]] = set()
     norm = np.linalg.norm(z, axis=1)
     strong = norm > MIN_COSINE * damp  # a weaker passage can't reach the threshold
     have, z = have[strong], z[strong] / np.maximum(norm[strong], damp)[:, None]
-    hits: dict[tuple[int, int], list[int]] = {}
     for lo in range(0, len(z), 2048):
         score = z[lo:lo + 2048] @ queries
         p, q = np.divmod(np.flatnonzero(score > MIN_COSINE), score.shape[1])
         for x, y in zip((lo + p).tolist(), owner[q].tolist(), strict=True):
             h = int(have[x])
-            hits.setdefault((int(doc_of[h]), y), []).append(int(start[h]))
-    of_doc: dict[int, set[int]] = {}
+            if (pair := (int(doc_of[h]), y)) in hits:
+                hits[pair].append(int(start[h]))
+                near.add(pair)
     for (d, i), starts in hits.items():
         item, doc = items.coded[i], coded[d]
-        # a passage with a third of the item shares many of its word triples, even with a few edits in it
-        if d not in of_doc:
-            of_doc[d] = set(_triples(doc, len(items.vocab)))
-        if len(triples[i] & of_doc[d]) < MIN_TRIPLES * len(item):
-            continue
         best = (0, 0, 0)
         reach = len(item) + len(item) // 3
         done = -1
@@ -348,7 +413,7 @@ def _search_block(items, ids, coded, keep, content, space, damp, queries, owner,
             if len(triples[i].intersection(_triples(part, len(items.vocab)))) < MIN_TRIPLES * len(item):
                 continue
             n, a, e = reproduced(item, part, content)
-            if n > best[0]:
+            if n > best[0] and ((d, i) in near or telling(item, part[a:e], content, min_share)):
                 best = (n, lo + a, lo + e)
         if best[0] >= min_share * len(item):
             answer = items.answers[i]

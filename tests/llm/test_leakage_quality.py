@@ -114,3 +114,34 @@ def test_plain_statistics(spark):
     df = spark.createDataFrame([(1, "The cat. A dog!\nno end", 0), (2, "", 0), (3, None, 0)], "id int, text string, n_words int")
     got = rows(Q.text_statistics(df, "id", "text"))
     assert got[0][:3] == (1, 22, 6) and got[0][5] == 2 and got[0][6] == 0.5 and got[1][1:] == (0, 0, None, None, 0, None, None) and got[2][1] is None
+
+
+def test_short_runs(spark):
+    """Runs of little more than a third of an item, anywhere in unrelated text, are all found."""
+    r = random.Random(11)
+    items = [(i, " ".join(sentence(r) for _ in range(5))) for i in range(40)]
+    docs, truth = [], set()
+    for d in range(400):
+        k = d % 40
+        w = L.words(items[k][1])
+        n = -(-len(w) * 36 // 100)
+        s = r.randrange(0, len(w) - n + 1)
+        own = L.words(" ".join(sentence(r) for _ in range(6)))
+        at = r.randrange(len(own))
+        docs.append((d, " ".join(own[:at] + w[s:s + n] + own[at:])))
+        truth.add((d, k))
+    got = {(x[0], x[1]) for x in L.find_leaks(spark.createDataFrame(docs, "doc bigint, text string"), "doc", "text",
+                                              spark.createDataFrame(items, "item bigint, text string"), "item", "text").collect()}
+    assert truth <= got
+
+
+def test_triple_index():
+    r = np.random.default_rng(5)
+    items = [r.integers(0, 6, 20) for _ in range(5)]
+    docs = [r.integers(-1, 6, n) for n in (0, 2, 3, 30, 60)]
+    triples = [frozenset(L._triples(x, 6)) for x in items]
+    got = L.TripleIndex(triples, 6).shared(docs, np.full(5, 3))
+    assert set(got) == {(d, i) for d, x in enumerate(docs) for i in range(5) if len(triples[i] & set(L._triples(x, 6))) >= 3}
+    for (d, i), pos in got.items():
+        x = docs[d].astype(np.int64)
+        assert pos == [p for p in range(len(x) - 2) if min(x[p:p + 3]) >= 0 and L._triples(x[p:p + 3], 6)[0] in triples[i]]
