@@ -89,8 +89,8 @@ def _starts50(spark, sf):
 
 
 def two_hop_paths(spark, sf):
-    """Best two-step paths from the subjects of the query rows (ids divisible by 50) through the literature graph."""
-    return G.two_hop_paths(star.literature(spark, sf), _starts50(spark, sf), 1).select("start", "mid", "end", F.array_join("relations", "|").alias("relations"), F.round("score", 9).alias("score"))
+    """Two-step paths, up to the operator's limit for each pair of ends, from the subjects of the query rows (ids divisible by 50) through the literature graph."""
+    return G.two_hop_paths(star.literature(spark, sf), _starts50(spark, sf)).select("start", "mid", "end", F.array_join("relations", "|").alias("relations"), F.round("score", 9).alias("score"))
 
 
 def targeted_traversal(spark, sf):

@@ -99,3 +99,12 @@ def test_evaluation(spark):
     assert E.pair_metrics(x).first().f1 == pytest.approx(0.5)
     rep = {r.label: r for r in E.classifier_report(spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), (None, "b")], "truth string, pred string")).collect()}
     assert rep["MICRO"].f1 == 0.5 and rep["a"].precision == 1.0 and rep["a"].recall == 0.5 and rep["null"].support == 1
+
+
+def test_two_hop_query_keeps_ten_paths(spark, monkeypatch):
+    from quillgraph.plans import graph_queries as P
+
+    lit = spark.createDataFrame([x for m in range(12) for x in (("s", f"m{m:02}", "treats", 1), (f"m{m:02}", "e", "treats", 1))], "src string, dst string, relation string, n_docs long")
+    monkeypatch.setattr(P.star, "literature", lambda *_: lit)
+    monkeypatch.setattr(P, "_starts50", lambda *_: spark.createDataFrame([("s",)], "start string"))
+    assert sorted(r.mid for r in P.two_hop_paths(spark, "").collect()) == [f"m{m:02}" for m in range(10)]
