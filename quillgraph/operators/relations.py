@@ -46,12 +46,16 @@ def align_concepts(sentences: DataFrame, concepts: DataFrame) -> DataFrame:
     return hit.join(c, "trigger").select("sent_id", "concept_id").distinct()
 
 
-def phrase_matches(texts: DataFrame, phrases: DataFrame, longest: int = 5) -> DataFrame:
-    """``id, phrase_id, start``: dictionary phrases of up to ``longest`` words found as word sequences; (id, text), (phrase_id, phrase)."""
+def phrase_matches(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``id, phrase_id, start``: dictionary phrases of any length found as word sequences; (id, text), (phrase_id, phrase).
+
+    Only the lengths that occur in the dictionary are looked up, one row of them in all.
+    """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    p = phrases.select("phrase_id", words(F.col("phrase")).alias("w")).where(F.size("w").between(1, longest)).select("phrase_id", F.array_join("w", " ").alias("k"), F.size("w").alias("n"))
+    p = phrases.select("phrase_id", words(F.col("phrase")).alias("w")).where(F.size("w") > 0).select("phrase_id", F.array_join("w", " ").alias("k"), F.size("w").alias("n"))
     t = texts.select("id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    grams = t.select("id", "w", F.explode(F.sequence(F.lit(1), F.least(F.size("w"), F.lit(longest)))).alias("n")).select(
+    lengths = p.agg(F.collect_set("n").alias("lengths"))
+    grams = t.join(F.broadcast(lengths), F.lit(True)).select("id", "w", F.explode("lengths").alias("n")).where(F.col("n") <= F.size("w")).select(
         "id", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("start", "k"))
     return grams.join(p, ["n", "k"]).select("id", "phrase_id", "start")
 

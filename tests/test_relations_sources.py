@@ -147,3 +147,11 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame([("a", k, k), (f"x{k}", 0, k)], "k string, v int, seq int").write.mode("append").parquet(src)
         ingest_stream(spark, src, target, "k string, v int, seq int", ["k"], "seq", str(tmp_path / "cp")).awaitTermination()
     assert rows(spark.read.parquet(target)) == [("a", 1, 1), ("x0", 0, 0), ("x1", 0, 1)]
+
+
+def test_phrases_of_any_length(spark):
+    from quillgraph.operators.relations import phrase_matches
+
+    t = spark.createDataFrame([(1, "Old lolirol induced dorsal root ganglia damage, again a b c d e f g h")], "id int, text string")
+    p = spark.createDataFrame([(1, "lolirol induced dorsal root ganglia damage"), (2, "a b c d e f g h"), (3, "damage"), (4, "a b c d e f g h i"), (5, "...")], "phrase_id int, phrase string")
+    assert sorted((r.phrase_id, r.start) for r in phrase_matches(t, p).collect()) == [(1, 1), (2, 8), (3, 6)]
