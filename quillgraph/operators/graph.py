@@ -6,6 +6,8 @@ level; each level is one join on the frontier and ends in a durable table.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,8 +94,8 @@ def semantic_similarity(pairs: DataFrame, edges: DataFrame) -> DataFrame:
             .select("a", "b", (F.coalesce("i", F.lit(0)) / (F.col("na") + F.col("nb") - F.coalesce("i", F.lit(0)))).alias("similarity")))
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, max_depth: int = 12) -> DataFrame:
-    """``a, b, hops, path`` of node pairs on the undirected graph; of equally short paths the smallest one; unreachable pairs give no row."""
+def shortest_paths(pairs: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``a, b, hops, path`` of node pairs on the undirected graph; of equally short paths the smallest one; unreachable pairs give no row, nor do pairs further apart than ``max_depth`` if it is given."""
     spark = edges.sparkSession
     scratch = Scratch(spark, "paths")
     e = scratch.keep(undirected(edges))
@@ -101,7 +103,7 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, max_depth: int = 12) -> D
     front = scratch.keep(todo.select("a").distinct().select(F.col("a").alias("start"), F.col("a").alias("node"), F.array("a").alias("path")))
     seen = front
     found = None
-    for depth in range(max_depth + 1):
+    for depth in count() if max_depth is None else range(max_depth + 1):
         hit = todo.join(front.select(F.col("start").alias("a"), F.col("node").alias("b"), "path"), ["a", "b"]).select("a", "b", F.lit(depth).alias("hops"), "path")
         found = hit if found is None else found.union(hit)
         todo = scratch.keep(todo.join(front.select(F.col("start").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti"))

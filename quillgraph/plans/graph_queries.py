@@ -67,9 +67,9 @@ def semantic_similarity(spark, sf):
 
 
 def shortest_path(spark, sf):
-    """Shortest paths between neighbouring siblings' first and every term's root, on the ontology."""
+    """Shortest paths between neighbouring siblings, on the ontology."""
     e = star.edges(spark, sf)
-    return G.shortest_paths(_sibling_pairs(spark, sf), e, 4).select("a", "b", F.col("hops").cast("long"), F.array_join("path", ">").alias("path"))
+    return G.shortest_paths(_sibling_pairs(spark, sf), e).select("a", "b", F.col("hops").cast("long"), F.array_join("path", ">").alias("path"))
 
 
 def component_labels(spark, sf):

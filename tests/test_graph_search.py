@@ -108,3 +108,9 @@ def test_two_hop_query_keeps_ten_paths(spark, monkeypatch):
     monkeypatch.setattr(P.star, "literature", lambda *_: lit)
     monkeypatch.setattr(P, "_starts50", lambda *_: spark.createDataFrame([("s",)], "start string"))
     assert sorted(r.mid for r in P.two_hop_paths(spark, "").collect()) == [f"m{m:02}" for m in range(10)]
+
+
+def test_shortest_path_has_no_depth_limit(spark):
+    chain = spark.createDataFrame([(f"n{k:02}", f"n{k + 1:02}") for k in range(14)] + [("x", "y")], "src string, dst string")
+    pairs = spark.createDataFrame([("n00", "n14"), ("n00", "x")], "a string, b string")
+    assert [(r.b, r.hops) for r in G.shortest_paths(pairs, chain).collect()] == [("n14", 14)]
