@@ -1,4 +1,6 @@
+import itertools
 import random
+from pathlib import Path
 
 import pytest
 from helpers import rows
@@ -10,7 +12,6 @@ from quillgraph.llm import canonical as C
 from quillgraph.llm.group_split import assign_splits, deal_bins, difference, nine_digits, related_groups
 from quillgraph.llm.packing import byte_tokens, pack, plan
 
-ENTRIES = [("1", "acute renal failure type 1"), ("2", "acute renal failure type 2"), ("3", "renal failure"), ("4", "alpha-lipoic acid sodium"), ("5", "lipocalin biosynthetic process"), ("1", "ARF1"), ("6", "Marfan disorder")]
 TEXTS = [
     ("Acute Renal Failure, type I", "1"), ("type 2 acute renal failure", "2"), ("acute renal failure type 7", C.UNMATCHED), ("chronic renal failure", C.UNMATCHED),
     ("patients with renal failure [12]", "3"), ("renal failure (disorder)", "3"), ("renal failrue, unspecified", "3"), ("arf1", "1"), ("ARF2", C.UNMATCHED), ("α-lipoic acid sodium", "4"),
@@ -26,7 +27,7 @@ def frames(spark):
     return d, e
 
 
-@pytest.mark.parametrize("block", [100_000, 2])
+@pytest.mark.parametrize("block", [100_000, 3, 2])
 def test_mapping(spark, monkeypatch, block):
     monkeypatch.setattr(C, "BLOCK", block)
     d, e = frames(spark)
@@ -44,6 +45,47 @@ def test_mapping_edges(spark):
     assert C.map_to_list(tie, "id", "text", two, "oid", "name").first()[1] == C.UNMATCHED
 
 
+def test_mapping_does_not_depend_on_blocks(spark, monkeypatch):
+    """Words of another block are known words, ties and longest mentions are settled over all blocks."""
+    names = ["serum gastrin", "gastric ulcer", "marfan syndrome", "marfan syndrome type 2", "ulcer", "chronic gastric ulcer", "kadesine", "kadexine", "nephritis of the left kidney"]
+    e = spark.createDataFrame([(str(i), n) for i, n in enumerate(names)], "oid string, name string")
+    values = ["serum gastric", "serum gastrim", "marfan disorder", "marfan syndrom", "chronic gastric ulcer", "gastric ulcer in the cohort", "kadefine", "ulcer gastric", "marfan syndrome typ 2",
+              "gastricc ulcer " + "nos " * 12, "left kidney nephritis", "the kidney left nephritiss of"]
+    d = spark.createDataFrame(list(enumerate(values)), "id bigint, text string")
+    seen = []
+    for block in (100_000, 4, 1):
+        monkeypatch.setattr(C, "BLOCK", block)
+        seen.append(rows(C.map_to_list(d, "id", "text", e, "oid", "name")))
+    assert seen[0] == seen[1] == seen[2]
+    got = {r[0]: r[1] for r in seen[0]}
+    assert got[0] == C.UNMATCHED and got[1] == "0" and got[4] == "5" and got[5] == "1" and got[6] == C.UNMATCHED and got[9] == "1" and got[11] == "8"
+
+
+DATA = Path("/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="test tables are not here")
+def test_mapping_of_whole_tables_by_block(spark, monkeypatch):
+    d, e = spark.read.parquet(str(DATA / "stored_entity.parquet")), spark.read.parquet(str(DATA / "canonical_terms.parquet"))
+    seen = []
+    for block in (100_000, 1_500):
+        monkeypatch.setattr(C, "BLOCK", block)
+        seen.append(rows(C.map_to_list(d, "entity_id", "text", e, "ontology_id", "canonical_name", "synonyms")))
+    assert seen[0] == seen[1] and len({r[1] for r in seen[0]}) > 50
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.dictionaries(st.integers(0, 3), st.integers(0, 2), max_size=3), min_size=1, max_size=5), st.integers(1, 4), st.data())
+def test_assignment(costs, wanted, data):
+    spare = [data.draw(st.sampled_from([None, 0, 1])) for _ in costs]
+    costs = [{j: c for j, c in x.items() if j < wanted} for x in costs]
+    best = None
+    for pick in itertools.product(*[[*c.items(), *([(None, s)] if s is not None else [])] for c, s in zip(costs, spare, strict=True)]):
+        if sorted(p[0] for p in pick if p[0] is not None) == list(range(wanted)):
+            best = min(x for x in (best, sum(p[1] for p in pick)) if x is not None)
+    assert C.assign(costs, wanted, spare) == best
+
+
 def test_document_ids(spark):
     d = spark.createDataFrame([(x,) for x in ("200000001", "PMID:200000001", " 200000001 ", "0200000001", "200000001.0", "pmid200000001", None, "none")], "d string")
     assert [r[0] for r in d.select(nine_digits(F.col("d"))).collect()] == ["200000001"] * 6 + [None, None]
