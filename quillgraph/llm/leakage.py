@@ -8,14 +8,16 @@ Method: latent semantic retrieval.
    distributed power iteration: tasks add up sketches A'(AQ), the driver only
    orthonormalises a words-by-rank matrix.
 3. One pass over all documents projects every passage and searches the items'
-   passages by cosine.  A run that covers only part of a passage can stay below
-   the cosine threshold, so every document that shares enough word triples with
-   an item, looked up in an index of the items' triples, is a candidate as well.
-   The items are a stated query set and travel to the tasks in blocks of bounded
-   size.
+   passages by cosine; every hit is a candidate.  A run that covers only part of
+   a passage can stay below the cosine threshold, so every document that shares
+   enough word triples with an item, looked up in an index of the items' triples,
+   is a candidate as well.  The items are a stated query set and travel to the
+   tasks in blocks of bounded size, several blocks in one pass.
 4. Candidates are verified in place: content words are aligned by longest common
    subsequence, the aligned span is compared word by word, and the share of the
-   item's words found in order decides.  The item's answer is looked up as well.
+   item's words found in order decides.  A paraphrase, which shares no word runs
+   with the item, counts if a third of the item's content words stand in order in
+   the passage or if the item's answer is given with it.
 
 No shuffle grows with the corpus apart from per-task counters.
 """
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -44,12 +47,16 @@ MAX_DOC_SHARE = 0.2
 CONTENT_SHARE = 0.05
 #: Candidate threshold on the damped cosine, and the damping norm as a share of the items' median.
 MIN_COSINE, DAMPING = 0.6, 0.8
-#: Distinct word triples that a candidate must share, as a share of the item's words; a document that shares them is a candidate whatever its cosine.
+#: A document that shares this many distinct word triples, as a share of the item's words, is a candidate whatever its cosine.
 MIN_TRIPLES = 0.15
+#: Share of an item's content words that a passage without common word runs must hold in order, unless it gives the item's answer.
+MIN_PARAPHRASE = 1 / 3
+#: Document words between two anchors of one passage.
+MAX_GAP = 40
 #: Corpus documents in the sample that the latent space is fitted on.
 FIT_DOCS = 5_000
-#: Items per block.
-ITEM_BLOCK = 2_000
+#: Items per block (about 40 MB in a task), and blocks that one pass over the corpus searches.
+ITEM_BLOCK, PASS_BLOCKS = 2_000, 8
 #: Share of an item's words that one passage must reproduce.
 MIN_SHARE = 1 / 3
 
@@ -121,17 +128,17 @@ class Items:
         return np.array([get(w, -1) for w in words(text)], np.int32)
 
 
-def _doc_counter(items: Items):
+def _doc_counter(vocab: dict[str, int]):
+    """Per task: in how many documents each word of ``vocab`` occurs, and the number of documents as word -1."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        vocab, n = items.vocab.keys(), 0
+        known, n = vocab.keys(), 0
         for b in batches:
             for text in b.column(0).to_pylist():
-                seen.update(vocab & set(words(text)))
+                seen.update(known & set(words(text)))
                 n += 1
-        df = np.array([seen.get(w, 0) for w in vocab], np.int64)
-        hit = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({"word": pa.array(np.append(hit, -1).astype(np.int32)), "n": pa.array(np.append(df[hit], n))})
+        hit = list(seen)
+        yield pa.RecordBatch.from_pydict({"word": pa.array([*(vocab[w] for w in hit), -1], pa.int32()), "n": pa.array([*(seen[w] for w in hit), n], pa.int64())})
     return run
 
 
@@ -234,9 +241,9 @@ def _anchors(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray) -> l
     back: list[int] = []
     for n, (j, i) in enumerate(cells):
         s, frm = 1, -1
-        for m in range(n - 1, max(-1, n - 60), -1):
+        for m in range(n - 1, -1, -1):
             j2, i2 = cells[m]
-            if j - j2 > 40:
+            if j - j2 > MAX_GAP:
                 break
             if j2 < j and i2 < i and abs((j - j2) - (i - i2)) <= 4 + (i - i2) // 4 and best[m] + 1 > s:
                 s, frm = best[m] + 1, m
@@ -360,70 +367,137 @@ class TripleIndex:
         return out
 
 
-def _searcher(items: Items, keep: np.ndarray, content: np.ndarray, space: np.ndarray, min_share: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Search:
+    """One block of items with its latent space, ready to search documents."""
+
+    def __init__(self, items: Items, keep: np.ndarray, content: np.ndarray, space: np.ndarray, min_share: float):
+        self.items, self.keep, self.content, self.space, self.min_share = items, keep, content, space, min_share
         ir, ic, owner, _ = passages(items.coded, keep)
         have, z = gather(ir, ic, space)
         norm = np.linalg.norm(z, axis=1)
-        damp = DAMPING * float(np.median(norm)) if len(norm) else 1.0
-        queries = np.ascontiguousarray((z / np.maximum(norm, damp)[:, None]).T)
-        owner = owner[have] if len(have) else owner
-        triples = [frozenset(_triples(x, len(items.vocab))) for x in items.coded]
-        index = TripleIndex(triples, len(items.vocab))
+        self.damp = DAMPING * float(np.median(norm)) if len(norm) else 1.0
+        self.queries = np.ascontiguousarray((z / np.maximum(norm, self.damp)[:, None]).T)
+        self.owner = owner[have] if len(have) else owner
+        self.base = len(items.vocab)
+        self.triples = [frozenset(_triples(x, self.base)) for x in items.coded]
+        self.index = TripleIndex(self.triples, self.base)
+        self.least = np.array([MIN_TRIPLES * len(x) for x in items.coded])
+        self.rare = [x[content[x]] for x in items.coded]
+        self.rare_sets = [frozenset(x.tolist()) for x in self.rare]
+        self.answers = [[items.vocab[w] for w in a] for a in items.answers]
+        self.answer_sets = [frozenset(a) for a in self.answers]
+        self.reach = [len(x) + len(x) // 3 for x in items.coded]
+        self.far = max(self.reach, default=0)
+
+    def leaks(self, tokens: list[list[str]]) -> Iterator[tuple[int, int, int, float, bool]]:
+        """(document, item, words, share, answer) of every leak; documents and items by position."""
+        get = self.items.vocab.get
+        coded = [np.array([get(w, -1) for w in t], np.int32) for t in tokens]
+        literal = self.index.shared(coded, self.least)
+        near = self._near(coded)
+        for pair, starts in literal.items():
+            hit = self._literal(pair, coded[pair[0]], starts, near.get(pair))
+            if hit:
+                yield *pair, *hit
+        around: dict[tuple[int, int], frozenset] = {}
+        for pair, starts in near.items():
+            if pair not in literal:
+                hit = self._paraphrase(pair, coded[pair[0]], starts, around)
+                if hit:
+                    yield *pair, *hit
+
+    def _near(self, coded: list[np.ndarray]) -> dict[tuple[int, int], list[int]]:
+        """Starts of the passages whose cosine with a passage of the item is above the threshold, by (document, item)."""
+        r, c, doc_of, start = passages(coded, self.keep)
+        have, z = gather(r, c, self.space)
+        norm = np.linalg.norm(z, axis=1)
+        strong = norm > MIN_COSINE * self.damp  # a weaker passage can't reach the threshold
+        have, z = have[strong], z[strong] / np.maximum(norm[strong], self.damp)[:, None]
+        near: dict[tuple[int, int], list[int]] = {}
+        for lo in range(0, len(z), 2048):
+            score = z[lo:lo + 2048] @ self.queries
+            p, q = np.divmod(np.flatnonzero(score > MIN_COSINE), score.shape[1])
+            h = have[lo + p]
+            for d, s, i in zip(doc_of[h].tolist(), start[h].tolist(), self.owner[q].tolist(), strict=True):
+                near.setdefault((d, i), []).append(s)
+        return near
+
+    def _told(self, i: int, doc: np.ndarray, lo: int, hi: int) -> bool:
+        answer = self.answers[i]
+        return bool(answer) and common_subsequence(answer, doc[max(0, lo - 5):hi + 40].tolist()) == len(answer)
+
+    def _literal(self, pair: tuple[int, int], doc: np.ndarray, shared: list[int], near: list[int] | None) -> tuple[int, float, bool] | None:
+        """``shared``: sorted positions of the shared triples."""
+        i = pair[1]
+        item, best, done = self.items.coded[i], (0, 0, 0), -1
+        for s in sorted({*shared, *(near or ())}):
+            if s < done:
+                continue
+            lo, hi = max(0, s - self.reach[i]), min(len(doc), s + WINDOW + self.reach[i])
+            done = s + WINDOW
+            if bisect_left(shared, hi - 2) - bisect_left(shared, lo) < self.least[i]:
+                continue
+            part = doc[lo:hi]
+            if len(self.triples[i].intersection(_triples(part, self.base))) < self.least[i]:
+                continue
+            n, a, e = reproduced(item, part, self.content)
+            if n > best[0] and (near is not None or telling(item, part[a:e], self.content, self.min_share)):
+                best = (n, lo + a, lo + e)
+        return self._leak(i, doc, best)
+
+    def _paraphrase(self, pair: tuple[int, int], doc: np.ndarray, starts: list[int], around: dict[tuple[int, int], frozenset]) -> tuple[int, float, bool] | None:
+        d, i = pair
+        item, rare, best, done = self.items.coded[i], self.rare[i], (0, 0, 0), -1
+        need = MIN_PARAPHRASE * len(rare)
+        for s in sorted(set(starts)):
+            if s < done:
+                continue
+            done = s + WINDOW // 2
+            held = around.get((d, s))
+            if held is None:
+                held = around[d, s] = frozenset(doc[max(0, s - self.far):s + WINDOW + self.far].tolist())
+            # bounds that lose nothing: words in order are words held
+            enough = len(rare) and len(self.rare_sets[i] & held) + len(rare) - len(self.rare_sets[i]) >= need
+            if not enough and not (self.answer_sets[i] and self.answer_sets[i] <= held):
+                continue
+            lo, hi = max(0, s - self.reach[i]), min(len(doc), s + WINDOW + self.reach[i])
+            part = doc[lo:hi]
+            n, a, e = reproduced(item, part, self.content)
+            if n > best[0] and n >= self.min_share * len(item):
+                inside = part[a:e]
+                known = inside[inside >= 0]
+                if enough and common_subsequence(rare.tolist(), known[self.content[known]].tolist()) >= need or self._told(i, doc, lo + a, lo + e):
+                    best = (n, lo + a, lo + e)
+        return self._leak(i, doc, best)
+
+    def _leak(self, i: int, doc: np.ndarray, best: tuple[int, int, int]) -> tuple[int, float, bool] | None:
+        n = len(self.items.coded[i])
+        if best[0] == 0 or best[0] < self.min_share * n:
+            return None
+        return best[0], best[0] / n, self._told(i, doc, best[1], best[2])
+
+
+_LEAK = "doc bigint, item bigint, n_words int, share double, answer boolean"
+
+
+def _searcher(blocks: list[tuple[Items, np.ndarray, np.ndarray, np.ndarray]], min_share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searches = [Search(*b, min_share) for b in blocks]
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             out: list[list] = [[], [], [], [], []]
             for lo in range(0, len(texts), 256):
-                _search_block(items, ids[lo:lo + 256], [items.encode(t) for t in texts[lo:lo + 256]], keep, content, space, damp, queries, owner, triples, index, min_share, out)
+                tokens = [words(t) for t in texts[lo:lo + 256]]
+                for s in searches:
+                    for d, i, n, share, told in s.leaks(tokens):
+                        for col, v in zip(out, (ids[lo + d], s.items.ids[i], n, share, told), strict=True):
+                            col.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.bool_()), strict=True)],
                                                 names=["doc", "item", "n_words", "share", "answer"])
     return run
 
 
-def _search_block(items, ids, coded, keep, content, space, damp, queries, owner, triples, index, min_share, out) -> None:
-    least = np.array([MIN_TRIPLES * len(x) for x in items.coded])
-    # runs that cover only part of a passage: every document with enough of an item's triples, at their positions
-    hits = index.shared(coded, least)
-    r, c, doc_of, start = passages(coded, keep)
-    have, z = gather(r, c, space)
-    near: set[tuple[int, int]] = set()
-    norm = np.linalg.norm(z, axis=1)
-    strong = norm > MIN_COSINE * damp  # a weaker passage can't reach the threshold
-    have, z = have[strong], z[strong] / np.maximum(norm[strong], damp)[:, None]
-    for lo in range(0, len(z), 2048):
-        score = z[lo:lo + 2048] @ queries
-        p, q = np.divmod(np.flatnonzero(score > MIN_COSINE), score.shape[1])
-        for x, y in zip((lo + p).tolist(), owner[q].tolist(), strict=True):
-            h = int(have[x])
-            if (pair := (int(doc_of[h]), y)) in hits:
-                hits[pair].append(int(start[h]))
-                near.add(pair)
-    for (d, i), starts in hits.items():
-        item, doc = items.coded[i], coded[d]
-        best = (0, 0, 0)
-        reach = len(item) + len(item) // 3
-        done = -1
-        for s in sorted(set(starts)):
-            if s < done:
-                continue
-            lo, hi = max(0, s - reach), min(len(doc), s + WINDOW + reach)
-            done = s + WINDOW
-            part = doc[lo:hi]
-            if len(triples[i].intersection(_triples(part, len(items.vocab)))) < MIN_TRIPLES * len(item):
-                continue
-            n, a, e = reproduced(item, part, content)
-            if n > best[0] and ((d, i) in near or telling(item, part[a:e], content, min_share)):
-                best = (n, lo + a, lo + e)
-        if best[0] >= min_share * len(item):
-            answer = items.answers[i]
-            around = doc[max(0, best[1] - 5):best[2] + 40]
-            coded_answer = [items.vocab[w] for w in answer]
-            told = bool(answer) and common_subsequence(coded_answer, around.tolist()) == len(coded_answer)
-            for col, v in zip(out, (ids[d], items.ids[i], best[0], best[0] / len(item), told), strict=True):
-                col.append(v)
-
-
 def find_leaks(docs: DataFrame, doc_col: str, text_col: str, items: DataFrame, item_col: str, item_text: str, min_share: float = MIN_SHARE,
                fit_docs: int = FIT_DOCS) -> DataFrame:
     """``doc_col, item_col, n_words, share, answer``: documents that hold a passage with at least ``min_share`` of an item's words in order.
@@ -431,38 +505,44 @@ def find_leaks(docs: DataFrame, doc_col: str, text_col: str, items: DataFrame, i
     ``answer`` tells whether the item's answer stands in or right behind the passage.
     Null or empty texts and items without a word give no row; repeated document rows
     are reported each; an empty corpus or item table gives no rows.  Items are the
-    query set: they are collected and searched in blocks of ``ITEM_BLOCK``; every
-    document is searched with its whole text.  The latent space is fitted on at
-    most about ``fit_docs`` documents chosen by hash (all, if there are fewer).
+    query set: they are collected and searched in blocks of ``ITEM_BLOCK``,
+    ``PASS_BLOCKS`` of them in one pass over the corpus, after one pass that counts
+    the words of all items; every document is searched with its whole text.  The
+    latent space is fitted on at most about ``fit_docs`` documents chosen by hash
+    (all, if there are fewer).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "leakage")
     corpus = docs.select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("text is not null and doc is not null")
     queries = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("t")).where("item is not null and t is not null")
-    n_items = queries.count()
-    blocks = max(1, -(-n_items // ITEM_BLOCK))
+    rows = sorted((r.item, r.t) for r in queries.collect() if words(r.t))  # the query set
+    if not rows:
+        return spark.createDataFrame([], _LEAK).withColumnRenamed("doc", doc_col).withColumnRenamed("item", item_col)
+    blocks = [Items(rows[k:k + ITEM_BLOCK]) for k in range(0, len(rows), ITEM_BLOCK)]
+    vocab = {w: i for i, w in enumerate(dict.fromkeys(w for b in blocks for w in b.vocab))}
+    counts = corpus.select("text").mapInArrow(_doc_counter(vocab), "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()  # the items' words
+    df = np.zeros(len(vocab) + 1)
+    for r in counts:
+        df[r.word] = r.n
+    total = int(df[-1])
+    sample = corpus if total <= fit_docs else corpus.where(
+        F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < F.lit(max(1, round(1_000_000 * fit_docs / total))))
+    sample = scratch.keep(sample.select("text")) if len(blocks) > 1 else sample.select("text")
+    ready = []
+    for b in blocks:
+        own = df[[vocab[w] for w in b.vocab]]
+        keep, content, idf = weights(own, total)
+        encoded = scratch.keep(sample.mapInArrow(_encoder(b), "w array<int>"))
+        ready.append((b, keep, content, fit_space(encoded, b, keep, idf)))
     result = None
-    for k in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
-        block = Items([(r.item, r.t) for r in part.collect() if words(r.t)])
-        if not block.ids:
-            continue
-        found = _block_leaks(corpus, block, scratch, min_share, fit_docs)
+    for k in range(0, len(ready), PASS_BLOCKS):
+        found = corpus.mapInArrow(_searcher(ready[k:k + PASS_BLOCKS], min_share), _LEAK)
         result = found if result is None else result.unionByName(found)
-    if result is None:
-        result = spark.createDataFrame([], "doc bigint, item bigint, n_words int, share double, answer boolean")
     return result.withColumnRenamed("doc", doc_col).withColumnRenamed("item", item_col)
 
 
-def _block_leaks(corpus: DataFrame, block: Items, scratch: Scratch, min_share: float, fit_docs: int) -> DataFrame:
-    counts = corpus.select("text").mapInArrow(_doc_counter(block), "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()  # the items' words
-    df = np.zeros(len(block.vocab), np.float64)
-    total = 0
-    for r in counts:
-        if r.word < 0:
-            total = int(r.n)
-        else:
-            df[r.word] = r.n
+def weights(df: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words that carry weight, content words, idf) by the words' document counts."""
     keep = df <= MAX_DOC_SHARE * max(total, 1)
     # content words are rarer than the usual vocabulary of the field; tiny corpora and items of common words fall back to ``keep``
     content = df <= max(CONTENT_SHARE * total, 1)
@@ -470,9 +550,4 @@ def _block_leaks(corpus: DataFrame, block: Items, scratch: Scratch, min_share: f
         content = keep if keep.any() else np.ones(len(df), bool)
     if not keep.any():
         keep = np.ones(len(df), bool)
-    idf = np.where(keep, np.log((total + 1) / (df + 1)) + 0.05, 0).astype(np.float32)
-    sample = corpus if total <= fit_docs else corpus.where(
-        F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < F.lit(max(1, round(1_000_000 * fit_docs / total))))
-    encoded = scratch.keep(sample.select("text").mapInArrow(_encoder(block), "w array<int>"))
-    space = fit_space(encoded, block, keep, idf)
-    return corpus.mapInArrow(_searcher(block, keep, content, space, min_share), "doc bigint, item bigint, n_words int, share double, answer boolean")
+    return keep, content, np.where(keep, np.log((total + 1) / (df + 1)) + 0.05, 0).astype(np.float32)

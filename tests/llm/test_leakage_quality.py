@@ -135,6 +135,33 @@ def test_short_runs(spark):
     assert truth <= got
 
 
+@pytest.mark.parametrize("way", ["replaced", "filler"])
+def test_paraphrases(spark, way):
+    """Items without a common word run: every third word replaced, or a filler behind every second word."""
+    r = random.Random(13)
+    items = [(i, " ".join(sentence(r) for _ in range(5))) for i in range(30)]
+    docs, truth = [], set()
+    for d in range(300):
+        own = [f"w{r.randrange(3000)}" for _ in range(90)]
+        if d % 3 == 0:
+            w = L.words(items[d % 30][1])
+            w = [f"zq{r.randrange(900)}" if way == "replaced" and k % 3 == 2 else x for k, x in enumerate(w)]
+            if way == "filler":
+                w = [y for k, x in enumerate(w) for y in ((x, f"zq{r.randrange(900)}") if k % 2 else (x,))]
+            at = r.randrange(len(own))
+            own = own[:at] + w + own[at:]
+            truth.add((d, d % 30))
+        docs.append((d, " ".join(own)))
+    got = {(x[0], x[1]) for x in L.find_leaks(spark.createDataFrame(docs, "doc bigint, text string"), "doc", "text",
+                                              spark.createDataFrame(items, "item bigint, text string"), "item", "text").collect()}
+    assert len(got & truth) >= 0.9 * len(truth) and {d for d, _ in got} <= {d for d, _ in truth}
+
+
+def test_anchor_chain_passes_repeated_words():
+    item = np.array([0, 1] * 40 + [2, 3, 4, 5])
+    assert len(L._anchors(item, item, np.arange(len(item)), np.arange(len(item)))) == len(item)
+
+
 def test_triple_index():
     r = np.random.default_rng(5)
     items = [r.integers(0, 6, 20) for _ in range(5)]
