@@ -230,13 +230,12 @@ def common_subsequence(a: list, b: list) -> int:
     return len(a) - bin(v).count("1")
 
 
-def _anchors(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray) -> list[tuple[int, int]]:
-    """Best chain of matching content words: (item position, document position), gaps of similar length on both sides."""
-    where: dict[int, list[int]] = {}
-    for i, x in enumerate(a.tolist()):
-        where.setdefault(x, []).append(i)
-    cells = [(int(pb[j]), int(pa_[i])) for j, y in enumerate(b.tolist()) for i in where.get(y, ())]
-    cells.sort()
+def _anchors(where: dict[int, list[int]], doc: list[int]) -> list[tuple[int, int]]:
+    """Best chain of matching content words: (item position, document position), gaps of similar length on both sides.
+
+    ``where``: positions of the item's content words.
+    """
+    cells = [(j, i) for j, y in enumerate(doc) if y in where for i in where[y]]
     best: list[int] = []
     back: list[int] = []
     for n, (j, i) in enumerate(cells):
@@ -245,7 +244,7 @@ def _anchors(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray) -> l
             j2, i2 = cells[m]
             if j - j2 > MAX_GAP:
                 break
-            if j2 < j and i2 < i and abs((j - j2) - (i - i2)) <= 4 + (i - i2) // 4 and best[m] + 1 > s:
+            if i2 < i and j2 < j and best[m] >= s and abs((j - j2) - (i - i2)) <= 4 + (i - i2) // 4:
                 s, frm = best[m] + 1, m
         best.append(s)
         back.append(frm)
@@ -259,11 +258,17 @@ def _anchors(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray) -> l
     return chain[::-1]
 
 
-def reproduced(item: np.ndarray, doc: np.ndarray, keep: np.ndarray) -> tuple[int, int, int]:
-    """(words of the item found in order in one passage of ``doc``, start, end of the passage)."""
-    ai = np.flatnonzero(keep[item])
-    bi = np.flatnonzero((doc >= 0) & keep[np.maximum(doc, 0)])
-    chain = _anchors(item[ai], doc[bi], ai, bi)
+def content_positions(item: np.ndarray, keep: np.ndarray) -> dict[int, list[int]]:
+    where: dict[int, list[int]] = {}
+    for i, x in enumerate(item.tolist()):
+        if keep[x]:
+            where.setdefault(x, []).append(i)
+    return where
+
+
+def reproduced(item: list[int], doc: list[int], where: dict[int, list[int]]) -> tuple[int, int, int]:
+    """(words of the item found in order in one passage of ``doc``, start, end of the passage); ``where``: the item's content words."""
+    chain = _anchors(where, doc)
     if not chain:
         return 0, 0, 0
     (i0, j0), (i1, j1) = chain[0], chain[-1]
@@ -293,7 +298,7 @@ def reproduced(item: np.ndarray, doc: np.ndarray, keep: np.ndarray) -> tuple[int
 
     i0, j0 = extend(i0, j0, -1)
     i1, j1 = extend(i1, j1, 1)
-    return common_subsequence(item[i0:i1 + 1].tolist(), doc[j0:j1 + 1].tolist()), j0, j1 + 1
+    return common_subsequence(item[i0:i1 + 1], doc[j0:j1 + 1]), j0, j1 + 1
 
 
 def longest_run(a: list, b: list) -> int:
@@ -351,10 +356,13 @@ class TripleIndex:
         n = self.count[k]
         row = np.repeat(np.arange(len(k)), n)
         item = self.items[self.first[k][row] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        doc = (np.searchsorted(base, pos, side="right") - 1)[row]
         pos, k = pos[row], k[row]
-        doc = np.searchsorted(base, pos, side="right") - 1
         pair = doc * self.n_items + item
-        order = np.lexsort((k, pair))
+        # a pair has no more distinct triples than positions
+        many = np.bincount(pair, minlength=len(coded) * self.n_items)[pair] >= least[item]
+        pos, k, doc, pair = pos[many], k[many], doc[many], pair[many]
+        order = np.argsort(pair * len(self.codes) + k, kind="stable")
         new_pair = np.flatnonzero(np.diff(pair[order], prepend=-1))
         new_code = np.diff(k[order], prepend=-1) != 0
         new_code[new_pair] = True
@@ -367,6 +375,19 @@ class TripleIndex:
         return out
 
 
+def _flat(sets: list[frozenset]) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of words one behind the other, and where each begins (one more at the end)."""
+    return np.array([w for x in sets for w in x], np.int64), np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+
+
+def _held(holds: np.ndarray, d: np.ndarray, i: np.ndarray, flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each (document, set): how many of the set's words the document holds, and how many there are."""
+    n = first[i + 1] - first[i]
+    row = np.repeat(np.arange(len(d)), n)
+    at = np.repeat(first[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.bincount(row, holds[d[row], flat[at]], minlength=len(d)), n
+
+
 class Search:
     """One block of items with its latent space, ready to search documents."""
 
@@ -379,13 +400,18 @@ class Search:
         self.queries = np.ascontiguousarray((z / np.maximum(norm, self.damp)[:, None]).T)
         self.owner = owner[have] if len(have) else owner
         self.base = len(items.vocab)
-        self.triples = [frozenset(_triples(x, self.base)) for x in items.coded]
-        self.index = TripleIndex(self.triples, self.base)
+        self.index = TripleIndex([frozenset(_triples(x, self.base)) for x in items.coded], self.base)
         self.least = np.array([MIN_TRIPLES * len(x) for x in items.coded])
+        self.lists = [x.tolist() for x in items.coded]
+        self.where = [content_positions(x, content) for x in items.coded]
         self.rare = [x[content[x]] for x in items.coded]
         self.rare_sets = [frozenset(x.tolist()) for x in self.rare]
+        self.rare_flat, self.rare_first = _flat(self.rare_sets)
         self.answers = [[items.vocab[w] for w in a] for a in items.answers]
         self.answer_sets = [frozenset(a) for a in self.answers]
+        self.answer_flat, self.answer_first = _flat(self.answer_sets)
+        self.need = np.array([MIN_PARAPHRASE * len(x) for x in self.rare])
+        self.repeats = np.array([len(x) - len(y) for x, y in zip(self.rare, self.rare_sets, strict=True)])
         self.reach = [len(x) + len(x) // 3 for x in items.coded]
         self.far = max(self.reach, default=0)
 
@@ -400,28 +426,55 @@ class Search:
             if hit:
                 yield *pair, *hit
         around: dict[tuple[int, int], frozenset] = {}
-        for pair, starts in near.items():
-            if pair not in literal:
-                hit = self._paraphrase(pair, coded[pair[0]], starts, around)
-                if hit:
-                    yield *pair, *hit
+        for pair in self._may_paraphrase(coded, [p for p in near if p not in literal]):
+            hit = self._paraphrase(pair, coded[pair[0]], near[pair], around)
+            if hit:
+                yield *pair, *hit
+
+    def _may_paraphrase(self, coded: list[np.ndarray], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The pairs whose document holds enough of the item's content words, or its whole answer: a bound that loses nothing."""
+        if not pairs:
+            return []
+        d, i = np.array(pairs).T
+        holds = np.zeros((len(coded), self.base), bool)
+        for k, x in enumerate(coded):
+            holds[k, x[x >= 0]] = True
+        rare, _ = _held(holds, d, i, self.rare_flat, self.rare_first)
+        told, n = _held(holds, d, i, self.answer_flat, self.answer_first)
+        ok = (rare > 0) & (rare + self.repeats[i] >= self.need[i]) | (n > 0) & (told == n)
+        return [p for p, k in zip(pairs, ok.tolist(), strict=True) if k]
 
     def _near(self, coded: list[np.ndarray]) -> dict[tuple[int, int], list[int]]:
         """Starts of the passages whose cosine with a passage of the item is above the threshold, by (document, item)."""
-        r, c, doc_of, start = passages(coded, self.keep)
-        have, z = gather(r, c, self.space)
+        doc_of, start, z = self._project(coded)
         norm = np.linalg.norm(z, axis=1)
-        strong = norm > MIN_COSINE * self.damp  # a weaker passage can't reach the threshold
-        have, z = have[strong], z[strong] / np.maximum(norm[strong], self.damp)[:, None]
+        strong = np.flatnonzero(norm > MIN_COSINE * self.damp)  # a weaker passage can't reach the threshold
+        z = z[strong] / np.maximum(norm[strong], self.damp)[:, None]
         near: dict[tuple[int, int], list[int]] = {}
         for lo in range(0, len(z), 2048):
             score = z[lo:lo + 2048] @ self.queries
             p, q = np.divmod(np.flatnonzero(score > MIN_COSINE), score.shape[1])
-            h = have[lo + p]
+            h = strong[lo + p]
             for d, s, i in zip(doc_of[h].tolist(), start[h].tolist(), self.owner[q].tolist(), strict=True):
                 near.setdefault((d, i), []).append(s)
         return near
 
+    def _project(self, coded: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, start, vector) of every passage; a passage is two neighbouring cells of ``STEP`` words."""
+        lens = np.array([len(x) for x in coded], np.int64)
+        n_pass = np.array([_starts(n) for n in lens.tolist()], np.int64)
+        n_cells = n_pass + 1  # the last cell of a short text is empty
+        base = np.cumsum(n_cells) - n_cells
+        flat = np.concatenate(coded) if len(coded) else np.zeros(0, np.int32)
+        pos = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
+        ok = np.flatnonzero((flat >= 0) & self.keep[np.maximum(flat, 0)])
+        have, sums = gather((np.repeat(base, lens) + pos // STEP)[ok], flat[ok], self.space)
+        cells = np.zeros((int(n_cells.sum()), self.space.shape[1]), np.float32)
+        cells[have] = sums
+        k = np.arange(n_pass.sum()) - np.repeat(np.cumsum(n_pass) - n_pass, n_pass)
+        first = np.repeat(base, n_pass) + k
+        return np.repeat(np.arange(len(coded)), n_pass), k * STEP, cells[first] + cells[first + 1]
+
     def _told(self, i: int, doc: np.ndarray, lo: int, hi: int) -> bool:
         answer = self.answers[i]
         return bool(answer) and common_subsequence(answer, doc[max(0, lo - 5):hi + 40].tolist()) == len(answer)
@@ -438,9 +491,7 @@ class Search:
             if bisect_left(shared, hi - 2) - bisect_left(shared, lo) < self.least[i]:
                 continue
             part = doc[lo:hi]
-            if len(self.triples[i].intersection(_triples(part, self.base))) < self.least[i]:
-                continue
-            n, a, e = reproduced(item, part, self.content)
+            n, a, e = reproduced(self.lists[i], part.tolist(), self.where[i])
             if n > best[0] and (near is not None or telling(item, part[a:e], self.content, self.min_share)):
                 best = (n, lo + a, lo + e)
         return self._leak(i, doc, best)
@@ -462,7 +513,7 @@ class Search:
                 continue
             lo, hi = max(0, s - self.reach[i]), min(len(doc), s + WINDOW + self.reach[i])
             part = doc[lo:hi]
-            n, a, e = reproduced(item, part, self.content)
+            n, a, e = reproduced(self.lists[i], part.tolist(), self.where[i])
             if n > best[0] and n >= self.min_share * len(item):
                 inside = part[a:e]
                 known = inside[inside >= 0]
