@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -84,19 +84,19 @@ ORACLES = {
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     from quillgraph.llm.sentences import split_sentences
 
-    return split_sentences(_t(spark, sf, "verifier_state"), "state_id", "original_text").select("state_id", "sent_start", "sent_end").distinct()
+    return split_sentences(_t(spark, sf, "verifier_state"), "state_id", "original_text", "lang").select("state_id", "sent_start", "sent_end").distinct()
 
 
 def p3_sentences(spark: SparkSession, sf: str) -> DataFrame:
     from quillgraph.llm.sentences import split_sentences
 
-    return split_sentences(_t(spark, sf, "verifier_state"), "state_id", "original_text")
+    return split_sentences(_t(spark, sf, "verifier_state"), "state_id", "original_text", "lang")
 
 
 def _pieces(spark: SparkSession, sf: str) -> DataFrame:
     from quillgraph.llm.splitting import split_oversized
 
-    return split_oversized(_t(spark, sf, "verifier_state"), "state_id", "original_text")
+    return split_oversized(_t(spark, sf, "verifier_state"), "state_id", "original_text", lang_col="lang")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,7 +107,22 @@ def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return _pieces(spark, sf)
 
 
-QUERIES |= {"p3_found": p3_found, "p3_sentences": p3_sentences, "p4_found": p4_found, "p4_pieces": p4_pieces}
+def p4_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """For every text that is cut: its characters but blanks, those the pieces hold, and how many pieces break the limit, the overlap or the order."""
+    p = _pieces(spark, sf).select("state_id", "piece_no", "piece_start", "piece_end", "piece").distinct()
+    w = Window.partitionBy("state_id").orderBy("piece_no")
+    p = p.withColumns({"was": F.coalesce(F.lag("piece_end").over(w), F.lit(0)), "before": F.lag("piece_start").over(w)})
+    text = _t(spark, sf, "verifier_state").select("state_id", "original_text").distinct()
+    solid = lambda c: F.length(F.regexp_replace(c, r"\s+", "")).cast("long")
+    own = F.substring("piece", F.greatest(F.col("was") - F.col("piece_start"), F.lit(0)).cast("int") + 1, 1_000_000_000)
+    bad = (F.length("piece") > 1000) | (F.col("was") - F.col("piece_start") > 100) & (F.col("piece_no") > 0) | (F.col("piece_start") <= F.col("before")) | (F.col("piece_end") <= F.col("was"))
+    got = p.groupBy("state_id").agg(F.sum(solid(own)).alias("held"), F.count_if(bad).alias("n_bad"))
+    return text.where(F.length("original_text") > 1000).join(got, "state_id", "left").select("state_id", solid(F.col("original_text")).alias("solid"), "held", "n_bad")
+
+
+QUERIES |= {"p3_found": p3_found, "p3_sentences": p3_sentences, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_checked": p4_checked}
+ORACLES |= {"p4_checked": r"""SELECT DISTINCT state_id, length(regexp_replace(original_text, '\s+', '', 'g')) AS solid, length(regexp_replace(original_text, '\s+', '', 'g')) AS held, 0::BIGINT AS n_bad
+ FROM verifier_state WHERE length(original_text) > 1000"""}
 
 
 # ---------------------------------------------------------------- 6 canonical list

@@ -4,15 +4,15 @@ Method: lexical-cohesion segmentation.  The text is cut into units (paragraphs,
 sentences, words, or characters, the coarsest kind whose units all fit).
 Sliding blocks on both sides of every gap between units are compared by word
 overlap (cosine); a gap's depth is how far its similarity lies below the peaks
-to its left and right.  Each piece ends at the deepest valley inside the size
-window, and the next piece repeats up to ``overlap`` characters.
+to its left and right.  Each piece ends at the deepest valley inside its size
+window (all gaps up to ``limit`` characters from its start, the last of equally
+deep ones), and the next piece repeats up to ``overlap`` characters.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,12 +36,12 @@ def _words(text: str) -> list[str]:
     return out
 
 
-def units(text: str, limit: int) -> tuple[str, list[tuple[int, int]]]:
+def units(text: str, limit: int, lang: str | None = None) -> tuple[str, list[tuple[int, int]]]:
     """The first level whose units all have at most ``limit`` characters, and those units (none listed for single characters)."""
     spans = paragraph_spans(text)
     if spans and all(b - a <= limit for a, b in spans):
         return "paragraph", spans
-    spans = sentence_spans(text)
+    spans = sentence_spans(text, lang)
     if spans and all(b - a <= limit for a, b in spans):
         return "sentence", spans
     spans = [m.span() for m in re.finditer(r"\S+", text)]
@@ -50,45 +50,62 @@ def units(text: str, limit: int) -> tuple[str, list[tuple[int, int]]]:
     return "char", []
 
 
-def _cosine(a: Counter, b: Counter) -> float:
-    if not a or not b:
-        return 0.0
-    if len(a) > len(b):
-        a, b = b, a
-    dot = sum(n * b[w] for w, n in a.items() if w in b)
-    return dot / math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
+class _Blocks:
+    """Word counts left and right of a gap with their dot product, kept up word by word."""
+
+    def __init__(self):
+        self.sides: tuple[dict[str, int], dict[str, int]] = {}, {}
+        self.squares = [0, 0]
+        self.dot = 0
+
+    def add(self, side: int, words: list[str]) -> None:
+        mine, other = self.sides[side], self.sides[1 - side]
+        for w in words:
+            n = mine.get(w, 0)
+            mine[w] = n + 1
+            self.squares[side] += 2 * n + 1
+            self.dot += other.get(w, 0)
+
+    def drop(self, side: int, words: list[str]) -> None:
+        mine, other = self.sides[side], self.sides[1 - side]
+        for w in words:
+            n = mine[w] - 1
+            mine[w] = n
+            self.squares[side] -= 2 * n + 1
+            self.dot -= other.get(w, 0)
+
+    def cosine(self) -> float:
+        a, b = self.squares
+        return self.dot / math.sqrt(a * b) if a and b else 0.0
 
 
 def depths(text: str, spans: list[tuple[int, int]], block: int) -> list[float]:
     """Depth of the similarity valley at every gap between consecutive units.
 
-    Blocks hold about ``block`` words on each side and slide over the units.
+    Blocks hold about ``block`` words on each side and slide over the units; every
+    word enters and leaves each side once.
     """
-    bags = [Counter(_words(text[a:b])) for a, b in spans]
-    sizes = [sum(c.values()) for c in bags]
+    bags = [_words(text[a:b]) for a, b in spans]
     n = len(spans)
     sims = []
-    left: Counter = Counter()
-    right: Counter = Counter()
+    blocks = _Blocks()
     lo, hi, ln, rn = 0, 0, 0, 0  # left block: units lo..g, right block: g+1..hi-1
     for g in range(n - 1):
-        left.update(bags[g])
-        ln += sizes[g]
-        while lo < g and ln - sizes[lo] >= block:
-            ln -= sizes[lo]
-            left.subtract(bags[lo])
-            left += Counter()  # drops zeros
+        blocks.add(0, bags[g])
+        ln += len(bags[g])
+        while lo < g and ln - len(bags[lo]) >= block:
+            ln -= len(bags[lo])
+            blocks.drop(0, bags[lo])
             lo += 1
         if g < hi:
-            rn -= sizes[g]
-            right.subtract(bags[g])
-            right += Counter()
+            rn -= len(bags[g])
+            blocks.drop(1, bags[g])
         hi = max(hi, g + 1)
         while hi < n and rn < block:
-            right.update(bags[hi])
-            rn += sizes[hi]
+            blocks.add(1, bags[hi])
+            rn += len(bags[hi])
             hi += 1
-        sims.append(_cosine(left, right))
+        sims.append(blocks.cosine())
     # peaks: climb from each gap while similarity rises
     peak_left, run, best = [], 0.0, 0.0
     for i, s in enumerate(sims):
@@ -112,9 +129,9 @@ def _overlap_start(text: str, end: int, at: int) -> int:
     return at
 
 
-def split_text(text: str, limit: int = 1000, overlap: int = 100) -> tuple[str, list[tuple[int, int]]]:
+def split_text(text: str, limit: int = 1000, overlap: int = 100, lang: str | None = None) -> tuple[str, list[tuple[int, int]]]:
     """(cut level, piece spans) of a text longer than ``limit``; every character that is not whitespace at a cut is covered."""
-    level, spans = units(text, limit)
+    level, spans = units(text, limit, lang)
     n = len(spans)
     if level == "char":
         pieces, at = [], 0
@@ -135,9 +152,7 @@ def split_text(text: str, limit: int = 1000, overlap: int = 100) -> tuple[str, l
         while last + 1 < n and spans[last + 1][1] - start <= limit:
             last += 1
         if last < n - 1:
-            # deepest valley among the cuts that leave the piece at least half full
-            half = [i for i in range(first, last + 1) if spans[i][1] - start >= limit // 2] or [last]
-            last = max(half, key=lambda i: (scores[i], i))
+            last = max(range(first, last + 1), key=lambda i: (scores[i], i))
         end = spans[last][1]
         pieces.append((start, end))
         first = last + 1
@@ -158,8 +173,8 @@ def _cutter(limit: int, overlap: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in _SCHEMA]
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                level, pieces = split_text(text, limit, overlap)
+            for key, text, lang in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                level, pieces = split_text(text, limit, overlap, lang)
                 for n, (s, e) in enumerate(pieces):
                     for c, v in zip(cols, (key, level, n, s, e, text[s:e]), strict=True):
                         c.append(v)
@@ -167,16 +182,18 @@ def _cutter(limit: int, overlap: int):
     return cut
 
 
-def split_oversized(df: DataFrame, id_col: str, text_col: str, limit: int = 1000, overlap: int = 100) -> DataFrame:
+def split_oversized(df: DataFrame, id_col: str, text_col: str, limit: int = 1000, overlap: int = 100, lang_col: str | None = None) -> DataFrame:
     """Pieces of every text longer than ``limit`` characters.
 
     Result: ``id_col, cut_level, piece_no, piece_start, piece_end, piece``; a piece
     has at most ``limit`` characters and starts with up to ``overlap`` characters
     from the end of the one before (fewer where the next unit leaves no room).
     Shorter, null and empty texts give no row; a text of blanks only is cut at
-    characters.  Repeated rows are cut each.  No shuffle.
+    characters.  ``lang_col`` names the language of a row for its sentences.
+    Repeated rows are cut each.  No shuffle.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("doc_key"), F.col(text_col).alias("text")).where(
+    lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_key"), F.col(text_col).alias("text"), lang.alias("lang")).where(
         (F.length("text") > limit) & F.col("doc_key").isNotNull())
     out = rows.mapInArrow(_cutter(limit, overlap), "doc_key bigint, cut_level string, piece_no int, piece_start bigint, piece_end bigint, piece string")
     return out.withColumnRenamed("doc_key", id_col)

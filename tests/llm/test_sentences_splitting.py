@@ -1,10 +1,15 @@
+import math
+import random
+import time
+from collections import Counter
+
 import pytest
 from helpers import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillgraph.llm.sentences import paragraph_spans, sentence_spans, split_sentences
-from quillgraph.llm.splitting import split_oversized, split_text, units
+from quillgraph.llm.splitting import _Blocks, depths, split_oversized, split_text, units
 
 CASES = [
     ("One. Two! Three?", ["One.", "Two!", "Three?"]),
@@ -27,6 +32,15 @@ CASES = [
     ('डॉ. वादोलू ने 4 मि.ग्रा. दिया। क्या असर हुआ? aspirin ने सूजन कम की।', ["डॉ. वादोलू ने 4 मि.ग्रा. दिया।", "क्या असर हुआ?", "aspirin ने सूजन कम की।"]),
     ("هل تغير بعد إعطاء aspirin؟ انسحب 3؛ والسبب مجهول. يذكر: «لم يعد».", ["هل تغير بعد إعطاء aspirin؟", "انسحب 3؛ والسبب مجهول.", "يذكر: «لم يعد»."]),
     ("อาการหายไปหลังจาก 7 สัปดาห์ ยาaspirinลดการอักเสบ ไม่พบโรคanemia type 2 ผลนี้ดี", ["อาการหายไปหลังจาก 7 สัปดาห์", "ยาaspirinลดการอักเสบ", "ไม่พบโรคanemia type 2", "ผลนี้ดี"]),
+    ("It was a big fig. We ate it. See fig. 4 and Fig. S2.", ["It was a big fig.", "We ate it.", "See fig. 4 and Fig. S2."]),
+    ("He studied at univ. She left. He lives in the U.S. She stays.", ["He studied at univ.", "She left.", "He lives in the U.S.", "She stays."]),
+    ("This is one‽ This is two.", ["This is one‽", "This is two."]),
+    ("Սա մեկ է։ Սա երկու է։", ["Սա մեկ է։", "Սա երկու է։"]),
+    ("នេះជាមួយ។នេះជាពីរ។", ["នេះជាមួយ។", "នេះជាពីរ។"]),
+    ("ꦲꦏ꧉ ꦧꦕ꧉", ["ꦲꦏ꧉", "ꦧꦕ꧉"]),
+    ("ߊߋ߹ ߌߍ߹ ܐܒ܂ ܓܕ܂", ["ߊߋ߹", "ߌߍ߹", "ܐܒ܂", "ܓܕ܂"]),
+    ("𑂃𑂄𑃀 𑂅𑂆𑃀", ["𑂃𑂄𑃀", "𑂅𑂆𑃀"]),
+    ("ผู้ป่วยดีขึ้นและ ไม่มีอาการ แต่กลับมาอีก", ["ผู้ป่วยดีขึ้นและ ไม่มีอาการ แต่กลับมาอีก"]),
     ("", []), (" \n\n ", []), ("no end", ["no end"]),
 ]
 
@@ -36,6 +50,23 @@ def test_sentences(text, want):
     assert [text[a:b] for a, b in sentence_spans(text)] == want
 
 
+def test_abbreviations_follow_the_language():
+    text = "Der Wert fiel um ca. Zehn Prozent."
+    assert len(sentence_spans(text, "de")) == 1 and len(sentence_spans("Wait for the max. Then stop it now.", "en")) == 1
+    assert [len(sentence_spans("Ver pág. Nueve de la lista.", x)) for x in ("es", None)] == [2, 2] and len(sentence_spans("Ver pág. 9 de la lista.", None)) == 1
+
+
+@pytest.mark.parametrize("unit", ["(", "(a. ", '"A b." ', "«([", "A b. ", ") . ", "„ . “ ", "ก ข "])
+def test_time_grows_with_the_text(unit):
+    n = 400_000 // len(unit)
+    t = time.perf_counter()
+    sentence_spans(unit * (n // 8))
+    short = time.perf_counter() - t
+    t = time.perf_counter()
+    sentence_spans(unit * n)
+    assert time.perf_counter() - t < 16 * short + 1
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="aB. !?\n\"“”«»()。、…กข0مए", max_size=80))
 def test_spans_cover_everything_but_blanks(text):
@@ -84,6 +115,44 @@ def test_topic_change_is_the_cut():
     assert level == "sentence" and text[pieces[0][0]:pieces[0][1]].endswith("vessels.") and "bread" not in text[pieces[0][0]:pieces[0][1]]
 
 
+def test_cuts_fall_on_topic_changes():
+    """Texts of topics with words of their own: most cuts stand where the topic changes."""
+    r = random.Random(5)
+    hits = cuts = 0
+    for _ in range(30):
+        text, changes = "", set()
+        for _topic in range(8):
+            words = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(9)]
+            for _s in range(r.randrange(4, 7)):
+                text += " ".join(r.choice(words) for _ in range(8)).capitalize() + ". "
+            changes.add(len(text) - 1)
+        text = text.strip()
+        level, pieces = check_pieces(text, 600, 60)
+        assert level == "sentence"
+        cuts += len(pieces) - 1
+        hits += sum(b in changes for _, b in pieces[:-1])
+    assert hits >= 0.9 * cuts
+
+
+def test_block_similarity_matches_plain_counts():
+    r = random.Random(2)
+    bags = [[r.choice("abcdefg") * 5 for _ in range(r.randrange(0, 9))] for _ in range(40)]
+    text, spans = "", []
+    for bag in bags:
+        spans.append((len(text), len(text) + len(" ".join(bag))))
+        text += " ".join(bag) + " "
+    blocks = _Blocks()
+    for k in range(10):
+        blocks.add(0, bags[k])
+    for k in range(10, 20):
+        blocks.add(1, bags[k])
+    for k in range(5):
+        blocks.drop(0, bags[k])
+    a, b = Counter(w for k in range(5, 10) for w in bags[k]), Counter(w for k in range(10, 20) for w in bags[k])
+    want = sum(a[w] * b[w] for w in a) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+    assert abs(blocks.cosine() - want) < 1e-12 and len(depths(text, spans, 10)) == 39
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="ab.\n ", min_size=31, max_size=200))
 def test_pieces_hold_for_any_text(text):
