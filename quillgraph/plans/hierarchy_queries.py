@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.operators.hierarchy import descendant_pairs, hierarchy, links_from_lists
+from quillgraph.operators.hierarchy import descendants_of, hierarchy, links_from_lists
 from quillgraph.plans.tables import table
 
 
@@ -24,7 +24,7 @@ def p5_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_descendants(spark: SparkSession, sf: str) -> DataFrame:
-    return descendant_pairs(hierarchy(_links(spark, sf))).select("ancestor", "descendant", "distance")
+    return descendants_of(hierarchy(_links(spark, sf), paths=False)).select("ancestor", "descendant", "distance")
 
 
 QUERIES = {"p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants}

@@ -30,27 +30,33 @@ def build_session(app: str = "quillgraph", master: str | None = None, **conf: st
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
+    if (master or "").startswith("local["):  # one machine: a folder of its own is shared by all there is
+        defaults["spark.checkpoint.dir"] = f"file://{_local_dir()}"
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def _local_dir() -> str:
+    global _LOCAL_DIR
+    if _LOCAL_DIR is None:
+        _LOCAL_DIR = tempfile.mkdtemp(prefix="quillgraph-")
+    return _LOCAL_DIR
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir`` where set.
 
-    Only a local-mode session without that setting falls back to a temporary
-    folder of this machine; on a cluster a missing setting is an error.
+    A session of one machine (``local[n]``) that lacks the setting gets a folder of
+    its own; on a cluster a missing setting is an error.
     """
-    global _LOCAL_DIR
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _LOCAL_DIR is None:
-        _LOCAL_DIR = tempfile.mkdtemp(prefix="quillgraph-")
-    return f"file://{_LOCAL_DIR}"
+    return f"file://{_local_dir()}"
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -68,7 +74,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self.n = 0
-        self.paths: dict[int, str] = {}
+        self.tables: list[tuple[DataFrame, str]] = []
         atexit.register(_delete, spark, self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -77,11 +83,13 @@ class Scratch:
         path = f"{self.root}/{self.n}"
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.tables.append((out, path))
         return out
 
     def drop(self, df: DataFrame | None) -> None:
         """Delete a table of this scratch that no later step reads."""
-        path = self.paths.pop(id(df), None)
-        if path:
-            _delete(self.spark, path)
+        for k, (kept, path) in enumerate(self.tables):
+            if kept is df:
+                del self.tables[k]
+                _delete(self.spark, path)
+                return

@@ -3,8 +3,11 @@ import random
 import pytest
 from helpers import rows
 
+from pyspark.sql import functions as F
+
 from quillgraph import skew
-from quillgraph.operators.hierarchy import descendant_pairs, descendants_of, hierarchy, links_from_lists
+from quillgraph.operators import hierarchy as H
+from quillgraph.operators.hierarchy import _blocks, descendants_of, hierarchy, links_from_lists
 
 
 def brute(links):
@@ -44,7 +47,7 @@ def check(spark, links):
         if r.parent:
             up = tree[r.parent]
             assert up.lft < r.lft <= r.rgt <= up.rgt
-    assert len({(r.root_id, r.lft) for r in tree.values()}) == len(tree)
+    assert {r.lft for r in tree.values()} == set(range(len(tree)))
     return got
 
 
@@ -74,5 +77,24 @@ def test_lists_and_descendants(spark):
     links = links_from_lists(df, "n", "p", "c")
     assert rows(links) == [("GO:1", None), ("GO:2", "GO:1"), ("GO:3", "GO:2")]
     tree = hierarchy(links)
-    assert rows(descendant_pairs(tree)) == [("GO:1", "GO:2", 1), ("GO:1", "GO:3", 2), ("GO:2", "GO:3", 1)]
-    assert rows(descendants_of(tree, spark.createDataFrame([("GO:1",)], "id string"))) == [("GO:1", "GO:2"), ("GO:1", "GO:3")]
+    assert rows(descendants_of(tree)) == [("GO:1", "GO:2", 1), ("GO:1", "GO:3", 2), ("GO:2", "GO:3", 1)]
+    assert rows(descendants_of(tree, spark.createDataFrame([("GO:2",)], "id string"))) == [("GO:2", "GO:3", 1)]
+
+
+@pytest.mark.parametrize("top", [16, 2, 0])
+def test_descendants_by_blocks(spark, monkeypatch, top):
+    monkeypatch.setattr(H, "TOP_BLOCK", top)
+    rnd = random.Random(9)
+    links = [(f"v{i}", f"v{rnd.randrange(i)}" if i % 17 else None) for i in range(150)]
+    tree = hierarchy(spark.createDataFrame(links, "id string, parent string"))
+    want = sorted((a, r.id, r.depth - k) for r in tree.collect() for k, a in enumerate(r.path[:-1]))
+    assert sorted(map(tuple, descendants_of(tree).collect())) == want
+
+
+def test_blocks_make_up_the_range(spark):
+    pairs = [(a, b) for a in range(0, 40, 3) for b in range(a, 44, 5)]
+    df = spark.createDataFrame(pairs, "lo bigint, hi bigint")
+    for top in (0, 2, 6):
+        for r in df.select("lo", "hi", _blocks(F.col("lo"), F.col("hi"), top).alias("b")).collect():
+            got = sorted(x for b in r.b for x in range(b.block << b.level, (b.block + 1) << b.level))
+            assert got == list(range(r.lo, r.hi))
