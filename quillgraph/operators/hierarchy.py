@@ -77,22 +77,21 @@ def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent",
     scratch = Scratch(spark, "hierarchy")
     raw = links.select(F.col(id_col).cast("string").alias("id"), F.col(parent_col).cast("string").alias("parent")).where("id is not null")
     nodes = raw.union(raw.where("parent is not null").select("parent", F.lit(None).cast("string")))
-    nodes = scratch.keep(nodes.groupBy("id").agg(F.min("parent").alias("parent")))
-    counted = nodes.agg(F.count("*").alias("n"), F.count("parent").alias("open")).first()
-    total, left = counted["n"], counted["open"]
+    nodes, seen = scratch.keep_counted(nodes.groupBy("id").agg(F.min("parent").alias("parent")), n=F.count("*"), open=F.count("parent"))
+    total, left = seen["n"], seen["open"]
 
     # upward: size covers the descendants nearer than 2**k; a node is processed once its ancestor is past the root
-    state, before, rounds = nodes.select("id", "parent", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("size")), None, 0
-    while left and left != before and rounds < MAX_ROUNDS:
+    state, before = nodes.select("id", "parent", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("size")), None
+    while left and left != before:
         gained = state.where("anc is not null").groupBy(F.col("anc").alias("id")).agg(F.sum("size").alias("more"))
         sized = state.join(gained, "id", "left").select("id", "parent", "anc", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
         right = state.select(F.col("id").alias("anc"), F.col("anc").alias("o_anc"))
         heavy = heavy_keys(state.where("anc is not null").groupBy("anc").count(), "anc", "count", total)
-        new = scratch.keep(salted_lookup(sized, right, "anc", F.col("id"), heavy, "left").select("id", "parent", F.col("o_anc").alias("anc"), "size"))
+        new, seen = scratch.keep_counted(salted_lookup(sized, right, "anc", F.col("id"), heavy, "left").select("id", "parent", F.col("o_anc").alias("anc"), "size"), open=F.count("anc"))
         scratch.drop(state)
-        state, before, rounds = new, left, rounds + 1
-        left = state.where("anc is not null").count()
-    out = _placed(scratch, state.where("anc is null").select("id", "parent", "size"), total, rounds, paths)
+        state, before = new, left
+        left = seen["open"]
+    out = _placed(scratch, state.where("anc is null").select("id", "parent", "size"), total, paths)
     if left:
         none = F.lit(None)
         cyclic = state.where("anc is not null").select("id", "parent")
@@ -102,20 +101,18 @@ def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent",
     return out if paths else out.drop("path")
 
 
-def _placed(scratch: Scratch, tree: DataFrame, total: int, rounds: int, paths: bool) -> DataFrame:
+def _placed(scratch: Scratch, tree: DataFrame, total: int, paths: bool) -> DataFrame:
     """Ranges from sibling prefix sums handed down, then depth and root from a sweep over the ranges."""
     own = tree.select("id", "parent", "size", F.coalesce("parent", F.lit("\x00")).alias("group"))
     start = segmented_prefix(own, ["group"], ["id"], F.col("size"), "before").select(
         "id", "parent", "size", F.col("parent").alias("anc"), (F.col("before") + F.when(F.col("parent").isNull(), 0).otherwise(1)).cast("long").alias("lft"),
         (F.array("id") if paths else F.array().cast("array<string>")).alias("path"))
-    pos = scratch.keep(start)
-    for _ in range(rounds):
-        if pos.where("anc is not null").isEmpty():
-            break
+    pos, seen = scratch.keep_counted(start, open=F.count("anc"))
+    while seen["open"]:
         far = _lookup(pos, ["anc", "lft", *(["path"] if paths else [])], total)
-        new = scratch.keep(far.select(
+        new, seen = scratch.keep_counted(far.select(
             "id", "parent", "size", F.col("o_anc").alias("anc"), (F.col("lft") + F.coalesce("o_lft", F.lit(0))).alias("lft"),
-            (F.when(F.col("o_path").isNull(), F.col("path")).otherwise(F.concat("o_path", "path")) if paths else F.col("path")).alias("path")))
+            (F.when(F.col("o_path").isNull(), F.col("path")).otherwise(F.concat("o_path", "path")) if paths else F.col("path")).alias("path")), open=F.count("anc"))
         scratch.drop(pos)
         pos = new
     none = F.lit(None)

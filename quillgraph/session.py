@@ -12,7 +12,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL_DIR: str | None = None
 
@@ -86,6 +86,12 @@ class Scratch:
         self.tables.append((out, path))
         return out
 
+    def keep_counted(self, df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
+        """``keep`` with aggregates of the rows, counted while they are written."""
+        seen = Observation()
+        out = self.keep(df.observe(seen, *[c.alias(n) for n, c in counts.items()]))
+        return out, seen.get
+
     def drop(self, df: DataFrame | None) -> None:
         """Delete a table of this scratch that no later step reads."""
         for k, (kept, path) in enumerate(self.tables):
