@@ -1,15 +1,19 @@
 """Per-document text statistics and the kind of text they tell.
 
 ``text_statistics`` gives the plain statistics with built-in Spark functions.
-``classify_kind`` trains gradient-boosted trees on richer statistics of a bounded
-sample with weak labels (documents in which one structure clearly dominates,
-plus rule-made examples), calibrates their scores on a hand-checked holdout and
-applies them to every document in one pass without a shuffle.
+``classify_kind`` trains gradient-boosted trees on statistics of a bounded sample
+and applies them to every document in one pass without a shuffle.  The labels come
+from what the trees do not see: plain counts over the whole text (common words,
+sentence ends, delimiters, compressibility) label the clear documents of the
+sample, mixtures of those are labelled by the larger part, and rule-made examples
+by the rule.  Scores are calibrated on one half of a hand-checked holdout, the
+other half measures accuracy.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 import unicodedata
 import zlib
@@ -25,8 +29,8 @@ from quillgraph.llm.quality_examples import HOLDOUT, synthetic
 KINDS = ("prose", "list", "table", "junk")
 #: Documents in the training sample (chosen by hash); the model is the only thing fitted on a sample.
 FIT_DOCS = 4_000
-#: A structure with at least this share of a document gives its weak label.
-CLEAR = 0.75
+#: Share of a text that one layout must make up for a weak label.
+CLEAR = 0.8
 
 #: Common words of the languages of the corpus.
 COMMON = frozenset((
@@ -107,9 +111,8 @@ def line_kind(line: str, ended: bool, unfinished: bool) -> str:
 
 
 #: Statistics that the trees see, in order.
-STATISTICS = ("log_chars", "log_words", "mean_word_len", "letters", "digits", "symbols", "spaces", "upper", "ends_per_word", "line_end_share",
-              "common_share", "lower_share", "unique_share", "line_len", "line_len_cv", "prose_part", "list_part", "table_part", "junk_part",
-              "repeat_part", "zip_ratio", "comma_rate", "chunk_len", "top_char_share", "spaceless")
+STATISTICS = ("log_chars", "log_words", "mean_word_len", "letters", "digits", "symbols", "spaces", "upper", "lower_share", "unique_share", "line_len", "line_len_cv", "prose_part", "list_part", "table_part", "junk_part",
+              "repeat_part", "comma_rate", "chunk_len", "top_char_share", "spaceless")
 
 
 def _classes() -> np.ndarray:
@@ -163,9 +166,7 @@ def structure_statistics(text: str) -> list[float]:
     dense = n - spaces
     lines = text.split("\n")
     lens = [len(x) for x in lines if x and not x.isspace()]
-    ended = 0
-
-    prose = listed = tabled = junk = common = lower = ends = 0
+    prose = listed = tabled = junk = lower = 0
     passages: list[list[str]] = []
     open_ = unfinished = False
     for x in lines:
@@ -173,7 +174,6 @@ def structure_statistics(text: str) -> list[float]:
             open_ = unfinished = False
             continue
         end = _END.search(x) is not None
-        ended += end
         kind = "text" if end and len(x) > 90 and "\t" not in x and x[0] not in "|-*•+–" else line_kind(x, end, unfinished)
         if kind == "text":
             if open_:
@@ -212,10 +212,8 @@ def structure_statistics(text: str) -> list[float]:
             few += w in COMMON
             lower += w == t
         stops = len(_SENT.findall(p))
-        common += few
-        ends += stops
         nt = len(toks)
-        if nt > 3 and sum(len(t) == 2 and _HEX.fullmatch(t) is not None for t in toks[:200]) > 0.6 * min(nt, 200):
+        if nt > 3 and size < 4 * nt and sum(len(t) == 2 and _HEX.fullmatch(t) is not None for t in toks) > 0.6 * nt:
             junk += size
             continue
         listing = False
@@ -238,23 +236,78 @@ def structure_statistics(text: str) -> list[float]:
     whole = max(1, prose + listed + tabled + junk)
     unique = len({w.lower() for w in words}) / nw
     repeat = 1 - unique if nw >= 12 else 0.0
-    raw = text.encode("utf-8", "replace")
-    ratio = len(zlib.compress(raw, 1)) / len(raw)
     commas = text.count(",") + text.count(";")
     mean_len = sum(lens) / len(lens)
     cv = math.sqrt(sum((x - mean_len) ** 2 for x in lens) / len(lens)) / max(mean_len, 1)
-    return [math.log1p(n), math.log1p(nw), min(dense / nw, 200.0), (letters + upper + spaceless) / n, digits / n, symbols / n, spaces / n, upper / n, ends / nw,
-            ended / len(lens), common / nw, lower / nw, unique, min(mean_len, 1000.0), cv, prose / whole, listed / whole, tabled / whole,
-            junk / whole, repeat, ratio, commas / nw, min(dense / (commas + 1), 500.0) if commas else 0.0, top / dense, spaceless / n]
+    return [math.log1p(n), math.log1p(nw), min(dense / nw, 200.0), (letters + upper + spaceless) / n, digits / n, symbols / n, spaces / n, upper / n,
+            lower / nw, unique, min(mean_len, 1000.0), cv, prose / whole, listed / whole, tabled / whole,
+            junk / whole, repeat, commas / nw, min(dense / (commas + 1), 500.0) if commas else 0.0, top / dense, spaceless / n]
+
+
+#: A line of cells: bars, tabs, ampersands, columns of blanks, separators without blanks.
+_CELLS = re.compile(r"\|.*\||\t| & .* & |\\\\$|\S {3,}\S.* {3,}\S|^[^,;]*(?:,(?! )[^,;]*){2,}$|\";\"")
+_ENTRY = re.compile(r"\s*(?:[-*•+–·▪◦o]|\(?\w{1,3}[.)]|\[\d+\])\s")
 
 
-def weak_label(stats: list[float]) -> int:
-    """Index of the kind that clearly dominates by structure alone, -1 if none does."""
-    s = dict(zip(STATISTICS, stats, strict=True))
-    if s["repeat_part"] > 0.9 and s["zip_ratio"] < 0.3 or s["top_char_share"] > 0.5:
+def weak_label(text: str) -> int:
+    """Index of the kind that plain counts over the whole text tell beyond doubt, -1 if they do not.
+
+    None of these counts is among ``STATISTICS``.
+    """
+    words = text.split()
+    if len(words) < 8 and len(text) < 200:
+        return -1
+    lines = [x for x in text.splitlines() if x.strip()]
+    size = sum(map(len, lines))
+    cells = sum(len(x) for x in lines if _CELLS.search(x))
+    entries = sum(len(x) for x in lines if not _CELLS.search(x) and (_ENTRY.match(x) or len(x) < 50 and not _END.search(x)))
+    common = sum(w.strip(_EDGE).lower() in COMMON for w in words) / len(words)
+    ends = len(_SENT.findall(text))
+    separators = (text.count(", ") + text.count("; ")) / len(words)
+    spaceless = len(_SPACELESS.findall(text)) / len(text)
+    damaged = len(_MOJI.findall(text)) + len(_DAMAGE.findall(text)) - text.count("|")
+    wordy = sum(len(w) > 2 and w.strip(_EDGE).isalpha() for w in words) / len(words)
+    raw = text.encode("utf-8", "replace")
+    if damaged > 0.03 * len(text) or cells < 0.5 * size and len(raw) > 150 and len(zlib.compress(raw, 6)) < 0.12 * len(raw):
+        return 3
+    if wordy < 0.1 and cells < 0.1 * size and len(words) > 30 and len(raw) < 1.2 * len(text):
         return 3
-    best = max(range(4), key=lambda k: s[f"{KINDS[k]}_part"])
-    return best if s[f"{KINDS[best]}_part"] >= CLEAR else -1
+    if cells >= CLEAR * size and common < 0.1:
+        return 2
+    if entries >= CLEAR * size and len(lines) > 4 and common < 0.1 or separators > 0.3 and common < 0.03:
+        return 1
+    if cells + entries > 0.1 * size:
+        return -1
+    if common >= 0.12 and ends * 40 >= len(words) or spaceless > 0.4 and ends * 120 >= len(text):
+        return 0
+    if common < 0.01 and ends * 60 < len(words) and separators < 0.1 and spaceless < 0.05:
+        return 3
+    return -1
+
+
+def mixtures(texts: list[tuple[str, int]], seed: int) -> list[tuple[str, int]]:
+    """Clear texts of two kinds put together in random proportions, with the kind of the larger part (by characters but blanks)."""
+    r = random.Random(seed)
+    by_kind = [[t for t, k in texts if k == kind] for kind in range(len(KINDS))]
+    out = []
+    for text, kind in texts:
+        others = [k for k in range(len(KINDS)) if k != kind and by_kind[k]]
+        if not others or len(text) > 20_000:
+            continue
+        other = r.choice(others)
+        mate = r.choice(by_kind[other])
+        parts = []
+        for t in (text, mate):
+            rows = t.split("\n")
+            if len(rows) < 4:
+                rows = re.split(r"(?<=[.!?。]) ", t)
+            n = max(1, round(len(rows) * r.uniform(0.15, 1)))
+            parts.append((" " if "\n" not in t else "\n").join(rows[:n]))
+        solid = [len("".join(p.split())) for p in parts]
+        if min(solid) and not 0.8 < solid[0] / solid[1] < 1.25:
+            order = parts if r.random() < 0.5 else parts[::-1]
+            out.append(("\n\n".join(order), kind if solid[0] > solid[1] else other))
+    return out
 
 
 class Trees:
@@ -346,14 +399,16 @@ class KindModel:
     """One boosted ensemble per kind with calibrated probabilities."""
 
     def __init__(self, stats: np.ndarray, labels: np.ndarray):
-        made = [(structure_statistics(t), KINDS.index(k)) for k, t in synthetic()]
-        x = np.concatenate([stats.reshape(-1, len(STATISTICS)), np.array([m[0] for m in made])])
-        y = np.concatenate([labels, [m[1] for m in made]]).astype(int)
+        made = [(t, KINDS.index(k)) for k, t in synthetic()]
+        made += mixtures(made, 11)
+        x = np.concatenate([stats.reshape(-1, len(STATISTICS)), np.array([structure_statistics(t) for t, _ in made])])
+        y = np.concatenate([labels, [k for _, k in made]]).astype(int)
         held = np.array([structure_statistics(t) for _, t in HOLDOUT])
         truth = np.array([KINDS.index(k) for k, _ in HOLDOUT])
+        calibrating = np.arange(len(truth)) % 2 == 0  # the texts stand kind after kind
         self.models = [Trees().fit(x, (y == k).astype(float)) for k in range(len(KINDS))]
-        self.scale = [_platt(m.score(held), (truth == k).astype(float)) for k, m in enumerate(self.models)]
-        self.holdout_accuracy = float((self.probabilities(held).argmax(axis=1) == truth).mean())
+        self.scale = [_platt(m.score(held[calibrating]), (truth[calibrating] == k).astype(float)) for k, m in enumerate(self.models)]
+        self.holdout_accuracy = float((self.probabilities(held[~calibrating]).argmax(axis=1) == truth[~calibrating]).mean())
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         p = np.stack([1 / (1 + np.exp(-np.clip(a * m.score(x) + b, -30, 30))) for m, (a, b) in zip(self.models, self.scale, strict=True)], axis=1)
@@ -362,8 +417,11 @@ class KindModel:
 
 def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [structure_statistics(t) for t in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array([weak_label(r) for r in rows], pa.int32())], names=["s", "label"])
+        clear = [(t, k) for t in b.column(0).to_pylist() if (k := weak_label(t)) >= 0]
+        few = min((n for k in range(len(KINDS)) if (n := sum(x == k for _, x in clear))), default=0)
+        rare = [(t, k) for t, k in clear if sum(x == k for _, x in clear) <= 4 * few]
+        every = clear + mixtures(clear, 3) + mixtures(rare, 5) + mixtures(rare, 7)
+        yield pa.RecordBatch.from_arrays([pa.array([structure_statistics(t) for t, _ in every], pa.list_(pa.float64())), pa.array([k for _, k in every], pa.int32())], names=["s", "label"])
 
 
 def _classifier(model: KindModel):
@@ -378,13 +436,13 @@ def _classifier(model: KindModel):
 
 
 def fit_kind_model(docs: DataFrame, text_col: str, fit_docs: int = FIT_DOCS) -> KindModel:
-    """Train on at most about ``fit_docs`` documents chosen by hash of their text; documents without a clear structure get no label."""
+    """Train on at most about ``fit_docs`` documents chosen by hash of their text, as far as plain counts label them, and on mixtures of those."""
     rows = docs.select(F.col(text_col).alias("t")).where("t is not null")
     n = rows.count()
     if n > fit_docs:
         rows = rows.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.lit(max(1, round(1_000_000 * fit_docs / n))))
     # identical texts share a hash: the sample keeps at most fit_docs rows whatever the copies
-    got = rows.limit(2 * fit_docs).mapInArrow(_sampler, "s array<double>, label int").where("label >= 0").collect()
+    got = rows.limit(2 * fit_docs).mapInArrow(_sampler, "s array<double>, label int").collect()
     stats = np.array([r.s for r in got]).reshape(-1, len(STATISTICS))
     return KindModel(stats, np.array([r.label for r in got], int))
 

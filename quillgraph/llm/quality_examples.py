@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-#: Checked by hand: (kind, text).  Used for calibration only, never for training.
+#: Checked by hand: (kind, text).  Every second one calibrates, the others measure accuracy; none is used for training.
 HOLDOUT = [
     ("prose", "The new dose was well tolerated. Most patients slept better after two weeks, and none of them asked to leave the trial."),
     ("prose", "We measured the pressure before and after exercise. It rose in seven of the ten volunteers, but the rise was small and did not last."),
@@ -91,7 +91,7 @@ def synthetic(per_kind: int = 140, seed: int = 5) -> list[tuple[str, str]]:
             if r.random() < 0.3:
                 junk = "\n".join(junk[i:i + 76] for i in range(0, n, 76))
         elif style == 2:
-            junk = r.choice(["null ", "page\n", "undefined ", "n/a\n", "_ ", "-", "="]) * (n // 4)
+            junk = r.choice(["null ", "page\n", "undefined ", "n/a\n", "_ ", "-", "=", ". ", "* "]) * (n // 4)
         elif style == 3:
             junk = "".join(r.choice("{}<>|~^@§¬#%*&!01I") if c.isalpha() and r.random() < 0.3 else c for c in " ".join(sents * 2))
         elif style == 4:

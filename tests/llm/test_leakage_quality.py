@@ -1,13 +1,19 @@
 import random
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
 from helpers import rows
+from pyspark.sql import functions as F
 
 from quillgraph.llm import leakage as L
 from quillgraph.llm import quality as Q
 from quillgraph.llm.quality_examples import HOLDOUT
 
+sys.path.append(str(Path(__file__).parent))
+from checked_documents import CHECKED  # noqa: E402
+
 NAMES = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "zu", "pe", "ra") for b in ("di", "fo", "gu", "te", "vo") for c in ("ne", "xin", "lol", "mab")]
 
 
@@ -90,6 +96,31 @@ def test_holdout_and_kinds(spark):
     assert Q.classify_kind(df.limit(0), "id", "text", model=model).count() == 0
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="test tables are not here")
+def test_documents_checked_by_hand(spark):
+    """Trained without them, the model agrees with the kinds read off documents of the table."""
+    kind = {h: k for k, hs in CHECKED.items() for h in hs.split()}
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").withColumn("h", F.substring(F.sha1("text"), 1, 16))
+    model = Q.fit_kind_model(docs.where(~F.col("h").isin(list(kind))), "text")
+    got = {r.h: r.kind for r in Q.classify_kind(docs.where(F.col("h").isin(list(kind))), "h", "text", model=model).collect()}
+    assert set(got) == set(kind) and sum(got[h] == k for h, k in kind.items()) >= 0.95 * len(kind) and model.holdout_accuracy >= 0.9
+
+
+def test_labels_do_not_come_from_inputs():
+    assert not {"common_share", "ends_per_word", "line_end_share", "zip_ratio"} & set(Q.STATISTICS)
+    label = lambda t: {-1: None, **dict(enumerate(Q.KINDS))}[Q.weak_label(t)]
+    assert label("| QT4 | 7.5 |\n" * 20) == "table" and label("".join(f"- name{i}\n" for i in range(40))) == "list"
+    assert label("The drug was given to the rats in the first week, and it had no effect on them. " * 3) == "prose" and label("null " * 99) == "junk" and label("short text") is None
+    mixed = Q.mixtures([("The drug was given to the rats. " * 9, 0), ("".join(f"- name{i}\n" for i in range(40)), 1)] * 20, 1)
+    assert {k for _, k in mixed} == {0, 1}
+
+
+def test_hex_is_counted_over_all_tokens():
+    prose = "The drug was given to the rats in the first week and it had no effect on any of them. "
+    s = lambda t: dict(zip(Q.STATISTICS, Q.structure_statistics(t), strict=True))
+    assert s("a1 b2 c3 d4 " * 40 + prose * 60)["prose_part"] > 0.8 and s("a1 b2 c3 d4 " * 60)["junk_part"] == 1
+
+
 def test_bulk_decides():
     model = Q.KindModel(np.zeros((0, len(Q.STATISTICS))), np.zeros(0, int))
     prose = "The drug was given to the rats in the first week. It had no effect on them, and the dose was raised. "
