@@ -266,7 +266,7 @@ def weak_label(text: str) -> int:
     separators = (text.count(", ") + text.count("; ")) / len(words)
     spaceless = len(_SPACELESS.findall(text)) / len(text)
     damaged = len(_MOJI.findall(text)) + len(_DAMAGE.findall(text)) - text.count("|")
-    wordy = sum(len(w) > 2 and w.strip(_EDGE).isalpha() for w in words) / len(words)
+    wordy = sum(len(w) > 2 and sum(c.isalpha() for c in w) > 1 for w in words) / len(words)
     raw = text.encode("utf-8", "replace")
     if damaged > 0.03 * len(text) or cells < 0.5 * size and len(raw) > 150 and len(zlib.compress(raw, 6)) < 0.12 * len(raw):
         return 3
