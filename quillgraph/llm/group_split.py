@@ -3,18 +3,16 @@
 Documents are linked through hub nodes (one per author or source text), so a
 hub with a third of all rows costs one edge per row and no pairs.  After the
 connected components, largest differencing (Karmarkar-Karp) balances component
-weights over many equal bins: the components are spread over blocks, each block
-is differenced by repeatedly combining its two most uneven partial solutions,
-and the blocks' bins are combined heaviest with lightest.  Whole bins then go to
-the splits by their target shares.
+weights over many equal bins: the components are spread over blocks of bounded
+size, each block is differenced by repeatedly combining its two most uneven
+partial solutions, and the blocks' bins are differenced again in a tree, some
+blocks per task.  Whole bins then go to the splits by their target shares.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +23,8 @@ from quillgraph.skew import heavy_keys, salted_lookup
 
 #: Bins that are balanced before they are dealt to the splits.
 BINS = 100
-#: Blocks that are differenced in parallel; the driver combines BLOCKS * BINS sums.
-BLOCKS = 256
+#: Groups in a block (about 2 s and 30 MB of one task), and blocks that one task combines.
+BLOCK_GROUPS, FAN = 10_000, 64
 
 
 def nine_digits(col: Column) -> Column:
@@ -45,7 +43,7 @@ def related_groups(docs: DataFrame, doc_col: str, shared: list[DataFrame]) -> Da
     links = None
     for k, df in enumerate(shared):
         # "~" sorts behind digits and letters, so the smallest id of a component is a document
-        part = df.select(F.col("document"), F.concat(F.lit(f"~{k}:"), F.col("key")).alias("key")).where("document is not null and key is not null").distinct()
+        part = df.select(F.col("document"), F.concat(F.lit(f"~{k}:"), F.col("key")).alias("key")).where("document is not null and key is not null")
         links = part if links is None else links.unionByName(part)
     links = links.join(ids, "document", "left_semi")
     comp = components(links, "document", "key", ids, "document")
@@ -53,27 +51,38 @@ def related_groups(docs: DataFrame, doc_col: str, shared: list[DataFrame]) -> Da
 
 
 def difference(weights: list[tuple[int, str]], bins: int) -> list[tuple[int, list]]:
-    """Largest differencing of (weight, item) into ``bins``: (sum, nested items), sums as even as the method gets.
+    """Largest differencing of (weight, item) into ``bins``: (sum, items), sums as even as the method gets."""
+    return [(s, _flat(items)) for s, items in combine([[(w, item)] for w, item in sorted(weights, key=lambda x: (-x[0], x[1]))], bins)]
 
-    A partial solution is a list of bins sorted by sum; the two with the largest
-    spread are combined, heaviest bin with lightest.
+
+def combine(solutions: list[list[tuple[int, object]]], bins: int) -> list[tuple[int, object]]:
+    """Repeatedly joins the two partial solutions with the largest spread, heaviest bin with lightest.
+
+    A solution is the list of its filled bins (sum, content) by rising sum, at most ``bins``.
     """
     heap = []
-    for n, (w, item) in enumerate(sorted(weights, key=lambda x: (-x[0], x[1]))):
-        sol = [(0, None)] * (bins - 1) + [(w, item)]
-        heap.append((-w, n, sol))
+    for n, sol in enumerate(solutions):
+        sol = sorted(sol, key=_sum)
+        heap.append((-(sol[-1][0] - (sol[0][0] if len(sol) == bins else 0)), n, sol))
     if not heap:
-        return [(0, [])] * bins
+        return [(0, None)] * bins
     heapq.heapify(heap)
     n = len(heap)
     while len(heap) > 1:
         _, _, a = heapq.heappop(heap)
         _, _, b = heapq.heappop(heap)
-        both = sorted(((x[0] + y[0], x[1] if y[1] is None else y[1] if x[1] is None else (x[1], y[1])) for x, y in zip(a, reversed(b), strict=True)),
-                      key=lambda x: x[0])
-        heapq.heappush(heap, (-(both[-1][0] - both[0][0]), n, both))
+        b = b[::-1]
+        # with the empty bins in front, the lightest of a meets what is left of b behind its heaviest
+        free = bins - len(a)
+        both = b[:free] + [(x[0] + y[0], (x[1], y[1])) for x, y in zip(a, b[free:], strict=False)] + a[max(0, len(b) - free):]
+        both.sort(key=_sum)
+        heapq.heappush(heap, (-(both[-1][0] - (both[0][0] if len(both) == bins else 0)), n, both))
         n += 1
-    return [(s, _flat(items)) for s, items in heap[0][2]]
+    return [(0, None)] * (bins - len(heap[0][2])) + heap[0][2]
+
+
+def _sum(x: tuple[int, object]) -> int:
+    return x[0]
 
 
 def _flat(items) -> list:
@@ -95,6 +104,19 @@ def _bin_block(bins: int):
     return run
 
 
+def _combine_blocks(bins: int):
+    """(parent, block, slot) -> slot of the parent, for the blocks of one parent."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["block", "slot"])
+        solutions: dict[int, list[tuple[int, str]]] = {}
+        for r in pdf.itertuples():
+            solutions.setdefault(r.block, []).append((int(r.w), f"{r.block}:{r.slot}"))
+        rows = [(*map(int, item.split(":")), slot) for slot, (_, items) in enumerate(combine(list(solutions.values()), bins)) for item in _flat(items)]
+        out = pd.DataFrame(rows, columns=["block", "slot", "into"]).merge(pdf, on=["block", "slot"])
+        return out[["parent", "block", "slot", "into", "w"]]
+    return run
+
+
 def deal_bins(sums: list[int], shares: list[float]) -> list[int]:
     """Split of each bin: heaviest first to the split that lacks most of its target."""
     total = sum(sums)
@@ -116,49 +138,25 @@ def assign_splits(groups: DataFrame, weights: DataFrame, names: list[str], share
     """
     spark = groups.sparkSession
     scratch = Scratch(spark, "splits")
-    groups = scratch.keep(groups)
-    totals = groups.join(weights, "document", "left").groupBy("group_id").agg(
-        F.coalesce(F.sum("weight"), F.lit(0)).cast("long").alias("weight"), F.count("*").alias("n"))
-    totals = totals.withColumn("block", F.pmod(F.xxhash64("group_id"), F.lit(BLOCKS)).cast("int"))
-    placed = totals.groupBy("block").applyInPandas(_bin_block(bins), "block int, slot int, group_id string, weight bigint, n bigint")
-    placed = scratch.keep(placed)
-    # at most BLOCKS * BINS sums
-    sums = placed.groupBy("block", "slot").agg(F.sum("weight").alias("w")).collect()
-    solutions: dict[int, list[tuple[int, tuple]]] = {}
-    for r in sums:
-        solutions.setdefault(r.block, []).append((int(r.w), (r.block, r.slot)))
-    heap = []
-    for block, sol in sorted(solutions.items()):
-        sol = sorted([(0, None)] * (bins - len(sol)) + sorted(sol), key=lambda x: x[0])
-        heap.append((-(sol[-1][0] - sol[0][0]), block, sol))
-    heapq.heapify(heap)
-    n = BLOCKS
-    while len(heap) > 1:
-        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
-        both = sorted(((x[0] + y[0], (x[1], y[1])) for x, y in zip(a, reversed(b), strict=True)), key=lambda x: x[0])
-        heapq.heappush(heap, (-(both[-1][0] - both[0][0]), n, both))
-        n += 1
-    table = []
-    if heap:
-        final = heap[0][2]
-        dealt = deal_bins([s for s, _ in final], shares)
-        for (_, members), k in zip(final, dealt, strict=True):
-            table += [(int(b), int(s), names[k]) for b, s in _pairs(members)]
-    slots = spark.createDataFrame(pd.DataFrame(table, columns=["block", "slot", "split"]).astype({"block": np.int32, "slot": np.int32})
-                                  if table else pd.DataFrame({"block": pd.Series(dtype="int32"), "slot": pd.Series(dtype="int32"), "split": pd.Series(dtype="str")}),
-                                  "block int, slot int, split string")
-    by_group = placed.join(F.broadcast(slots), ["block", "slot"]).select("group_id", F.col("n").alias("group_size"), "split")
-    heavy = heavy_keys(placed, "group_id", "n", 10**9)
+    groups, seen = scratch.keep_counted(groups, n=F.count("*"))
+    totals, counted = scratch.keep_counted(groups.join(weights, "document", "left").groupBy("group_id").agg(
+        F.coalesce(F.sum("weight"), F.lit(0)).cast("long").alias("weight"), F.count("*").alias("n")), n=F.count("*"))
+    blocks = max(1, -(-counted["n"] // BLOCK_GROUPS))
+    totals = totals.withColumn("block", F.pmod(F.xxhash64("group_id"), F.lit(blocks)).cast("int"))
+    placed = scratch.keep(totals.groupBy("block").applyInPandas(_bin_block(bins), "block int, slot int, group_id string, weight bigint, n bigint"))
+    sums = placed.groupBy("block", "slot").agg(F.sum("weight").alias("w"))
+    levels: list[DataFrame] = []
+    while blocks > 1:
+        blocks = -(-blocks // FAN)
+        level = sums.withColumn("parent", F.floor(F.col("block") / FAN).cast("int")).groupBy("parent").applyInPandas(
+            _combine_blocks(bins), "parent int, block int, slot int, into int, w bigint")
+        levels.append(scratch.keep(level))
+        sums = levels[-1].groupBy(F.col("parent").alias("block"), F.col("into").alias("slot")).agg(F.sum("w").alias("w"))
+    last = sorted((r.slot, int(r.w)) for r in sums.collect())  # at most ``bins`` rows
+    dealt = deal_bins([w for _, w in last], shares)
+    split = spark.createDataFrame([(0, slot, names[k]) for (slot, _), k in zip(last, dealt, strict=True)], "block int, slot int, split string")
+    for level in reversed(levels):
+        split = level.join(split.select(F.col("block").alias("parent"), F.col("slot").alias("into"), "split"), ["parent", "into"]).select("block", "slot", "split")
+    by_group = placed.join(split, ["block", "slot"]).select("group_id", F.col("n").alias("group_size"), "split")
+    heavy = heavy_keys(placed, "group_id", "n", seen["n"])
     return salted_lookup(groups, by_group, "group_id", F.col("document"), heavy).select("document", "group_id", "group_size", "split")
-
-
-def _pairs(members) -> Iterator[tuple[int, int]]:
-    stack = [members]
-    while stack:
-        x = stack.pop()
-        if x is None:
-            continue
-        if len(x) == 2 and isinstance(x[0], int):
-            yield x
-        else:
-            stack.extend(x)

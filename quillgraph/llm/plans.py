@@ -179,6 +179,21 @@ def p7_splits(spark: SparkSession, sf: str) -> DataFrame:
     return assign_splits(groups, weights, ["train", "validation", "test"], [0.8, 0.1, 0.1])
 
 
+def p7_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: documents, groups that were torn apart, and whether every split has its share of the rows within 1 % or the weight of the heaviest group."""
+    rows = _t(spark, sf, "results_bioc")
+    s = p7_splits(spark, sf)
+    torn = s.groupBy("group_id").agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("n_torn"))
+    from quillgraph.llm.group_split import nine_digits
+
+    w = rows.select(nine_digits(F.col("document_id")).alias("document")).where("document is not null").groupBy("document").agg(F.count("*").alias("w")).join(s, "document")
+    heaviest = w.groupBy("group_id").agg(F.sum("w").alias("w")).agg(F.max("w").alias("top"))
+    one = w.agg(F.count("*").alias("n_documents"), F.sum("w").alias("all"), *[F.sum(F.when(F.col("split") == k, F.col("w")).otherwise(0)).alias(k) for k in ("train", "validation", "test")])
+    both = one.join(torn, F.lit(True)).join(heaviest, F.lit(True))  # one row each
+    near = lambda k, share: (F.abs(F.col(k) / F.col("all") - share) <= F.greatest(F.lit(0.01), F.col("top") / F.col("all"))).alias(f"{k}_near")
+    return both.select("n_documents", "n_torn", near("train", 0.8), near("validation", 0.1), near("test", 0.1))
+
+
 _GROUPS = r"""
 WITH RECURSIVE r AS (
   SELECT lpad(ltrim(regexp_extract(document_id, '([0-9]+)(?:\.0*)?\s*$', 1), '0'), 9, '0') AS d,
@@ -194,8 +209,9 @@ s AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 reach AS (SELECT x AS d, x AS z FROM s UNION SELECT reach.d, s.y FROM reach JOIN s ON reach.z = s.x),
 g AS (SELECT d, min(z) AS g FROM reach GROUP BY d)
 """
-QUERIES |= {"p7_found": p7_found, "p7_splits": p7_splits}
-ORACLES |= {"p7_found": _GROUPS + "SELECT g AS group_id, d AS document_id FROM g"}
+QUERIES |= {"p7_found": p7_found, "p7_splits": p7_splits, "p7_checked": p7_checked}
+ORACLES |= {"p7_checked": _GROUPS + "SELECT count(DISTINCT d) AS n_documents, 0::BIGINT AS n_torn, true AS train_near, true AS validation_near, true AS test_near FROM r",
+            "p7_found": _GROUPS + "SELECT g AS group_id, d AS document_id FROM g"}
 
 
 # ---------------------------------------------------------------- 8 containers

@@ -116,6 +116,23 @@ def test_differencing(weights, bins):
         assert max(s for s, _ in got) - min(s for s, _ in got) <= max(weights)
 
 
+def test_many_groups_in_blocks(spark, monkeypatch):
+    """10^5 groups over many blocks: no group is torn apart, the splits have their shares."""
+    from quillgraph.llm import group_split as G
+
+    monkeypatch.setattr(G, "BLOCK_GROUPS", 2_000)
+    monkeypatch.setattr(G, "FAN", 8)
+    docs = spark.range(130_000).select(F.col("id").cast("string").alias("document"))
+    groups = docs.select("document", F.when(F.col("document") < 30_000, F.concat(F.lit("g"), F.pmod(F.xxhash64("document"), F.lit(900)))).otherwise(F.col("document")).alias("group_id"))
+    w = docs.select("document", (F.lit(1) + F.pmod(F.xxhash64("document", F.lit(1)), F.lit(9))).alias("weight"))
+    s = assign_splits(groups, w, ["a", "b", "c"], [0.8, 0.1, 0.1])
+    got = s.join(w, "document").groupBy("group_id").agg(F.count_distinct("split").alias("k"), F.first("split").alias("split"), F.sum("weight").alias("w")).cache()
+    assert got.where("k > 1").count() == 0 and s.count() == 130_000
+    by = {r.split: r.w for r in got.groupBy("split").agg(F.sum("w").alias("w")).collect()}
+    total = sum(by.values())
+    assert all(abs(by[k] / total - x) < 0.01 for k, x in zip("abc", (0.8, 0.1, 0.1), strict=True))
+
+
 def test_deal_bins():
     assert deal_bins([10] * 10, [0.8, 0.1, 0.1]).count(0) == 8 and deal_bins([], [0.5, 0.5]) == []
 
