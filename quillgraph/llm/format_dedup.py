@@ -4,7 +4,9 @@ Method: canonical records are range-partitioned and sorted (Spark's external
 sort), then adjacent runs are scanned comparing full keys.  The range key ends
 with the record id, so a key that holds a third of all rows is spread over many
 partitions; only the first run of each partition can continue a run of an
-earlier one, and those are corrected from one marker per partition and run end.
+earlier one, and those are corrected from one marker per partition and run end.  Keyed rows are
+written once, so the sample for the ranges does not make the keys again; markers
+carry a SHA-256 of their key, so their size does not follow the records.
 """
 
 from __future__ import annotations
@@ -99,12 +101,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _resolved(df: DataFrame, id_col: str, key: Column) -> tuple[DataFrame, DataFrame]:
     spark = df.sparkSession
-    keyed = df.select(key.alias("key"), F.col(id_col).cast("long").alias("id")).where("key is not null and id is not null")
-    runs = keyed.repartitionByRange(F.col("key"), F.col("id")).sortWithinPartitions("key", "id").mapInArrow(_scan, _DDL)
-    runs = Scratch(spark, "runs").keep(runs)
-    # at most two marks per partition: small whatever the number of rows
-    marks = F.broadcast(runs.where(F.col("kind") == MARK).groupBy("head_key").agg(F.min("first_id").alias("true_first")))
-    fixed = runs.where(F.col("kind") != MARK).join(marks, "head_key", "left").select(
+    scratch = Scratch(spark, "runs")
+    keyed = scratch.keep(df.select(key.alias("key"), F.col(id_col).cast("long").alias("id")).where("key is not null and id is not null"))
+    runs = scratch.keep(keyed.repartitionByRange(F.col("key"), F.col("id")).sortWithinPartitions("key", "id").mapInArrow(_scan, _DDL))
+    # at most two marks per partition, small whatever the number of rows and the length of keys
+    marks = F.broadcast(runs.where(F.col("kind") == MARK).groupBy(F.sha2("head_key", 256).alias("head")).agg(F.min("first_id").alias("true_first")))
+    fixed = runs.where(F.col("kind") != MARK).withColumn("head", F.sha2("head_key", 256)).join(marks, "head", "left").select(
         "kind", F.coalesce("true_first", "first_id").alias("first_id"), "row_id", "n")
     return fixed.where(F.col("kind") == MEMBER), fixed.where(F.col("kind") == RUN)
 

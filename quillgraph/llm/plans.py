@@ -233,8 +233,19 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
                     F.round(1 - F.sum("size") / (F.count("*") * 4096), 6).alias("unused_share"))
 
 
-QUERIES |= {"p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill}
-ORACLES |= {"p8_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > 4096"}
+def p8_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: items, tokens, pieces, containers over capacity, items whose pieces are not 0..n-1 once each, and whether under 1 % of all space is unused (or under two containers)."""
+    c = p8_containers(spark, sf)
+    bins = c.groupBy("container").agg(F.sum("size").alias("size")).agg(F.count("*").alias("n"), F.sum("size").alias("tokens"), F.count_if(F.col("size") > 4096).alias("n_over"))
+    items = c.groupBy("doc_id").agg(F.count("*").alias("k"), F.count_distinct("piece").alias("d"), F.max("piece").alias("last"), F.max("n_pieces").alias("n")).agg(
+        F.count("*").alias("n_items"), F.sum("k").alias("n_pieces"), F.count_if((F.col("k") != F.col("n")) | (F.col("d") != F.col("n")) | (F.col("last") != F.col("n") - 1)).alias("n_wrong"))
+    spare = F.col("n") * 4096 - F.col("tokens")
+    return bins.join(items, F.lit(True)).select("n_items", "tokens", "n_pieces", "n_over", "n_wrong", ((spare <= 0.01 * F.col("n") * 4096) | (spare < 2 * 4096)).alias("tight"))  # one row each
+
+
+QUERIES |= {"p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_checked": p8_checked}
+ORACLES |= {"p8_checked": """SELECT count(*) AS n_items, sum(strlen(text) + 1)::BIGINT AS tokens, sum(CAST(ceil((strlen(text) + 1) / 4096) AS BIGINT))::BIGINT AS n_pieces, 0::BIGINT AS n_over, 0::BIGINT AS n_wrong,
+ true AS tight FROM documents""", "p8_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > 4096"}
 
 
 # ---------------------------------------------------------------- 9 leaks

@@ -8,7 +8,8 @@
    (prefix, suffixes, counters) leave the task.
 3. Prefixes that are over-full across all workers are found from the leaves;
    a term's route is its shortest prefix that is not over-full.  Routes adapt to
-   the data, so a popular prefix is split further than a rare one.
+   the data, so a popular prefix is split further than a rare one, and no route
+   merges more than a fixed number of terms, whatever the size of the vocabulary.
 4. Leaves are cut by route, shuffled by it, and matching subtrees are merged.
 """
 
@@ -24,8 +25,9 @@ from quillgraph.session import Scratch
 
 #: A container bursts once it holds more terms than this.
 BURST = 512
-#: At most about this many prefixes per level are over-full; the routing table stays this small.
-MAX_ROUTES = 4096
+#: A prefix is over-full beyond its 1/ROUTES share of all terms, or beyond ROUTE_TERMS (a trie of about 200 MB in one task): the
+#: routing table has at most ROUTES prefixes per level up to ROUTES * ROUTE_TERMS leaf terms, and one per ROUTE_TERMS beyond.
+ROUTES, ROUTE_TERMS = 4096, 1_000_000
 
 _LEAF = pa.schema([("field", pa.string()), ("prefix", pa.string()), ("suffixes", pa.list_(pa.string())),
                    ("n_rows", pa.list_(pa.int64())), ("n_docs", pa.list_(pa.int64()))])
@@ -208,10 +210,10 @@ def term_frequencies(sources: list[tuple[str, DataFrame, str, str]], rare_docs:
 
     sizes = leaves.select("field", "prefix", F.size("suffixes").alias("n"))
     per_field = sizes.groupBy("field").agg(F.sum("n").alias("n"))
-    # n terms under the prefix and all its ancestors; over-full ones are at most MAX_ROUTES per level and field
+    # n terms under the prefix and all its ancestors
     under = sizes.select("field", "n", F.explode(F.transform(F.sequence(F.lit(0), F.length("prefix")), lambda i: F.substring("prefix", F.lit(1), i))).alias("p"))
     under = under.groupBy("field", "p").agg(F.sum("n").alias("under"))
-    over = under.join(F.broadcast(per_field), "field").where(F.col("under") > F.greatest(F.lit(BURST), F.col("n") / MAX_ROUTES))
+    over = under.join(F.broadcast(per_field), "field").where(F.col("under") > F.greatest(F.lit(BURST), F.least(F.lit(ROUTE_TERMS), F.col("n") / ROUTES)))
     table: dict[str, set[str]] = {}
     for r in over.select("field", "p").collect():
         table.setdefault(r.field, set()).add(r.p)
