@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import constants as K
 from quillgraph.operators.contains import contains_join
 from quillgraph.operators.graph import closure
+from quillgraph.session import Scratch
 
 
 def resolve_entities(terms: DataFrame, labels: DataFrame) -> DataFrame:
@@ -27,29 +28,53 @@ def resolve_entities(terms: DataFrame, labels: DataFrame) -> DataFrame:
     return t.join(direct.union(by_words), "q").select("term", "entity").distinct()
 
 
-def evidence(relations: DataFrame, triples: DataFrame, subproperties: DataFrame) -> DataFrame:
-    """``rel_id, exact, subproperty, twohop, flexible``: what the triples say about each relation (rel_id, s, p, o).
+def evidence(relations: DataFrame, triples: DataFrame, subproperties: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rel_id, exact, subproperty, twohop, flexible, twohop_label``: what the triples say about each relation (rel_id, s, p, o).
 
     ``exact``: the triple itself; ``subproperty``: one whose predicate is the same or
-    a sub-property (child, parent); ``twohop`` and ``flexible``: numbers of two-step
-    paths and of triples between the ends whatever the predicate, up to their limits.
-    Null s or o leaves all columns null.
+    a sub-property (child, parent); ``twohop``: two-step paths between the ends;
+    ``flexible`` and ``twohop_label``: triples and two-step paths, whatever the
+    predicate, between any entities whose label (entity, label) contains the texts of
+    the two ends, up to their limits.  Null s or o leaves all columns null.
     """
     r = relations.where("s is not null and o is not null").select("rel_id", "s", "p", "o")
-    pairs = r.select("s", "o").distinct()
-    direct = triples.select("s", "p", "o").distinct()
+    scratch = Scratch(relations.sparkSession, "evidence")
+    pairs = scratch.keep(r.select("s", "o").distinct())
+    direct = scratch.keep(triples.select("s", "p", "o").distinct())
     between = direct.join(pairs, ["s", "o"], "left_semi")
     exact = r.join(between, ["s", "p", "o"], "left_semi").select("rel_id", F.lit(True).alias("exact"))
     up = closure(subproperties.select(F.col("child").alias("src"), F.col("parent").alias("dst"))).select(F.col("start").alias("tp"), F.col("node").alias("p"))
     same = r.join(between.withColumnRenamed("p", "tp"), ["s", "o"]).select("rel_id", "p", "tp")
     via = same.join(up, ["tp", "p"], "left_semi").select("rel_id").union(same.where("tp = p").select("rel_id")).distinct().withColumn("subproperty", F.lit(True))
-    flex = between.groupBy("s", "o").agg(F.least(F.count("*"), F.lit(K.LIMIT_FLEXIBLE)).alias("flexible"))
-    one = direct.join(pairs.select("s").distinct(), "s", "left_semi").select("s", F.col("o").alias("mid"), "p").join(pairs, "s").where("mid <> o and mid <> s")
-    two = one.join(direct.select(F.col("s").alias("mid"), "o", F.col("p").alias("p2")), ["mid", "o"]).groupBy("s", "o").agg(F.least(F.count("*"), F.lit(K.LIMIT_TWOHOP)).alias("twohop"))
+    # number of links by pair of ends, so that parallel links travel once
+    link = scratch.keep(direct.groupBy("s", "o").agg(F.count("*").alias("n")))
+    two = _paths(pairs, link.join(pairs.select("s").distinct(), "s", "left_semi").select(F.col("s").alias("a"), F.col("o").alias("mid"), "n").where("a <> mid"),
+                 link.select(F.col("s").alias("mid"), F.col("o").alias("b"), "n").where("mid <> b"), "twohop", K.LIMIT_TWOHOP)
+    # entities by the text their label contains; a label holds few of the texts
+    texts = pairs.select(F.col("s").alias("q")).union(pairs.select("o")).distinct()
+    low = labels.select("entity", F.lower("label").alias("label"))
+    named = scratch.keep(contains_join(texts, "q", low, "label").select("q", "entity").distinct())
+    starts = link.join(named.select(F.col("entity").alias("s"), F.col("q").alias("a")), "s").select("a", "s", "o", "n")
+    ends = named.select(F.col("entity").alias("o"), F.col("q").alias("b"))
+    flex = starts.join(ends, "o").select("a", "b", "n").join(pairs.select(F.col("s").alias("a"), F.col("o").alias("b")), ["a", "b"], "left_semi").groupBy(
+        F.col("a").alias("s"), F.col("b").alias("o")).agg(F.least(F.sum("n"), F.lit(K.LIMIT_FLEXIBLE)).alias("flexible"))
+    by_label = _paths(pairs, starts.groupBy("a", F.col("o").alias("mid")).agg(F.sum("n").alias("n")),
+                      link.select(F.col("s").alias("mid"), "o", "n").join(ends, "o").groupBy("mid", "b").agg(F.sum("n").alias("n")), "twohop_label", K.LIMIT_TWOHOP)
     has = F.col("s").isNotNull() & F.col("o").isNotNull()
-    out = relations.select("rel_id", "s", "o").join(exact, "rel_id", "left").join(via, "rel_id", "left").join(two, ["s", "o"], "left").join(flex, ["s", "o"], "left")
+    out = relations.select("rel_id", "s", "o").join(exact, "rel_id", "left").join(via, "rel_id", "left")
+    for part in (two, flex, by_label):
+        out = out.join(part, ["s", "o"], "left")
     no = lambda c, d: F.when(has, F.coalesce(c, F.lit(d))).alias(c)
-    return out.select("rel_id", no("exact", False), no("subproperty", False), no("twohop", 0), no("flexible", 0))
+    return out.select("rel_id", no("exact", False), no("subproperty", False), *[no(c, 0) for c in ("twohop", "flexible", "twohop_label")])
+
+
+def _paths(pairs: DataFrame, first: DataFrame, second: DataFrame, name: str, limit: int) -> DataFrame:
+    """Number of two-step paths of every pair (s, o), from ``first`` (a, mid, n) and ``second`` (mid, b, n), at most ``limit``."""
+    # the second step is cut to the wanted ends before the middle nodes meet, and the pairs are looked up last
+    ends = pairs.select(F.col("o").alias("b")).distinct()
+    met = first.select("a", "mid", F.col("n").alias("n1")).join(second.join(ends, "b", "left_semi").select("mid", "b", F.col("n").alias("n2")), "mid")
+    return met.join(pairs.select(F.col("s").alias("a"), F.col("o").alias("b")), ["a", "b"], "left_semi").groupBy(F.col("a").alias("s"), F.col("b").alias("o")).agg(
+        F.least(F.sum(F.col("n1") * F.col("n2")), F.lit(limit)).alias(name))
 
 
 def ask_score(hit: Column) -> Column:
@@ -64,7 +89,7 @@ def hits_score(n: Column) -> Column:
 
 def evidence_score(df: DataFrame) -> DataFrame:
     """Adds ``score``, the best of the evidence columns of ``evidence`` (0 if none was run)."""
-    parts = [ask_score(F.col("exact")), ask_score(F.col("subproperty")), hits_score(F.col("twohop")), hits_score(F.col("flexible"))]
+    parts = [ask_score(F.col("exact")), ask_score(F.col("subproperty")), hits_score(F.col("twohop")), hits_score(F.col("flexible")), hits_score(F.col("twohop_label"))]
     return df.withColumn("score", F.coalesce(F.greatest(*parts), F.lit(0.0)))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators import graph as G
 from quillgraph.operators.components import components
+from quillgraph.operators.hierarchy import hierarchy
 from quillgraph.plans.tables import table
 from quillgraph.sources import star
 
@@ -67,9 +68,10 @@ def semantic_similarity(spark, sf):
 
 
 def shortest_path(spark, sf):
-    """Shortest paths between neighbouring siblings, on the ontology."""
+    """Shortest paths between neighbouring siblings and from every term to the root of its tree, on the ontology."""
     e = star.edges(spark, sf)
-    return G.shortest_paths(_sibling_pairs(spark, sf), e).select("a", "b", F.col("hops").cast("long"), F.array_join("path", ">").alias("path"))
+    tree = hierarchy(e.select(F.col("dst").alias("id"), F.col("src").alias("parent")), paths=False).where("depth > 0").select(F.col("id").alias("a"), F.col("root_id").alias("b"))
+    return G.shortest_paths(_sibling_pairs(spark, sf).union(tree), e).select("a", "b", F.col("hops").cast("long"), F.array_join("path", ">").alias("path"))
 
 
 def component_labels(spark, sf):
@@ -164,15 +166,17 @@ ORACLES = {
  c AS (SELECT DISTINCT start, node FROM r UNION SELECT id, id FROM n), p AS (SELECT a, b FROM sib UNION SELECT src, dst FROM e),
  i AS (SELECT a, b, count(*) AS i FROM p JOIN c x ON x.start = a JOIN c y ON y.start = b AND x.node = y.node GROUP BY a, b), z AS (SELECT start, count(*) AS n FROM c GROUP BY start)
  SELECT p.a, p.b, round(coalesce(i, 0) / (x.n + y.n - coalesce(i, 0)), 9) AS similarity FROM p LEFT JOIN i USING (a, b) JOIN z x ON x.start = p.a JOIN z y ON y.start = p.b""",
-    "shortest_path": _G + ", " + _SIB + """, s AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), p AS (SELECT DISTINCT a, b FROM sib),
+    "shortest_path": _G + ", " + _SIB + """, s AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), pa AS (SELECT dst AS id, min(src) AS parent FROM e GROUP BY dst),
+ t AS (SELECT id, parent AS cur, id || '>' || parent AS path, 1 AS hops FROM pa UNION ALL SELECT t.id, p.parent, t.path || '>' || p.parent, t.hops + 1 FROM t JOIN pa p ON p.id = t.cur WHERE t.hops < 60),
+ up AS (SELECT id AS a, cur AS b, hops, path FROM t WHERE cur NOT IN (SELECT id FROM pa)), p AS (SELECT DISTINCT a, b FROM sib WHERE (a, b) NOT IN (SELECT a, b FROM up)),
  d1 AS (SELECT p.a, p.b, 1 AS hops, p.a || '>' || p.b AS path FROM p JOIN s USING (a, b)),
  d2 AS (SELECT p.a, p.b, 2 AS hops, min(p.a || '>' || x.b || '>' || p.b) AS path FROM p JOIN s x ON x.a = p.a JOIN s y ON y.a = x.b AND y.b = p.b GROUP BY p.a, p.b)
- SELECT a, b, CAST(hops AS BIGINT) AS hops, path FROM d1 UNION ALL SELECT a, b, CAST(hops AS BIGINT), path FROM d2 WHERE (a, b) NOT IN (SELECT a, b FROM d1)""",
+ SELECT a, b, CAST(hops AS BIGINT) AS hops, path FROM (SELECT * FROM up UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2 WHERE (a, b) NOT IN (SELECT a, b FROM d1))""",
     "induced_subgraph": _G + """, s AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), t AS (SELECT id FROM n WHERE ontology = 'hp'),
  k AS (SELECT id FROM t UNION SELECT b FROM s WHERE a IN (SELECT id FROM t)) SELECT src, dst FROM e WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)""",
     "two_hop_paths": _L + ", " + _STARTS + """, b AS (SELECT *, CASE WHEN regexp_matches(lower(relation), 'treats|causes|regulates|interacts_with|part_of') THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END AS w FROM lit),
  t AS (SELECT x.src AS start, x.dst AS mid, y.dst AS end_, x.relation || '|' || y.relation AS relations, x.w * y.w AS score FROM b x JOIN b y ON x.dst = y.src WHERE x.src IN (SELECT start FROM st) AND x.src <> y.dst)
- SELECT start, mid, end_ AS "end", relations, round(score, 9) AS score FROM t QUALIFY row_number() OVER (PARTITION BY start, end_ ORDER BY score DESC, mid, relations) = 1""",
+ SELECT start, mid, end_ AS "end", relations, round(score, 9) AS score FROM t QUALIFY row_number() OVER (PARTITION BY start, end_ ORDER BY score DESC, mid, relations) <= 10""",
     "targeted_traversal": _L + ", " + _STARTS + """, h AS (SELECT DISTINCT src, dst, w FROM lit, (SELECT unnest(['treats', 'causes', 'prevents', 'inhibits', 'reduces']) AS w) WHERE contains(relation, w)),
  f AS (SELECT DISTINCT src, dst FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY src, w ORDER BY dst) <= 5)),
  o AS (SELECT start, dst AS node, 1 AS d FROM st JOIN f ON src = start), t AS (SELECT * FROM o UNION ALL SELECT o.start, f.dst, 2 FROM o JOIN f ON f.src = o.node)

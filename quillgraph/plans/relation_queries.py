@@ -100,7 +100,8 @@ def _evidence(spark, sf):
                                                           _norm("predicate").alias("p"))
     t = star.literature(spark, sf).select(F.col("src").alias("s"), F.col("relation").alias("p"), F.col("dst").alias("o"))
     sub = spark.createDataFrame([(m, k) for k, ms in K.EXTRACTOR_PREDICATES.items() for m in ms], "child string, parent string")
-    return e, V.evidence(e, t, sub)
+    names = t.select(F.col("s").alias("entity")).union(t.select("o")).distinct()
+    return e, V.evidence(e, t, sub, names.select("entity", F.col("entity").alias("label")))
 
 
 def evidence_hits(spark, sf):
@@ -112,9 +113,9 @@ def evidence_score(spark, sf):
 
 
 def ontology_verdict(spark, sf):
-    """Direction of every link between terms for the predicate "treats", by identifier prefixes."""
-    e = star.edges(spark, sf).select("src", "dst", F.lit("treats").alias("predicate"), F.translate("src", ":", "_").alias("s_iri"), F.translate("dst", ":", "_").alias("o_iri"))
-    return V.verdict(e).select("src", "dst", "subject_in_domain", "object_in_range", "direction_ok")
+    """Direction of every link between terms for every predicate with a schema, by identifier prefixes."""
+    e = star.edges(spark, sf).select("src", "dst", F.explode(F.array(*map(F.lit, K.PREFIX_SCHEMA))).alias("predicate"), F.translate("src", ":", "_").alias("s_iri"), F.translate("dst", ":", "_").alias("o_iri"))
+    return V.verdict(e).select("src", "dst", "predicate", "subject_in_domain", "object_in_range", "direction_ok")
 
 
 def verify_relations(spark, sf):
@@ -209,9 +210,9 @@ def kg_flatten(spark, sf):
 
 
 def unseen_documents(spark, sf):
-    """Documents whose publication has no relations yet."""
-    d = table(spark, sf, "documents").where("pmid is not null").select("doc_id", "pmid")
-    return unseen(d, table(spark, sf, "relations").select("pmid"), "pmid").select("doc_id", "pmid")
+    """Relations of publications without a stored document."""
+    r = table(spark, sf, "relations").where("pmid is not null").select("rel_id", "pmid")
+    return unseen(r, table(spark, sf, "documents").where("pmid is not null").select("pmid"), "pmid").select("rel_id", "pmid")
 
 
 QUERIES = {f.__name__: f for f in (svo_extract, bio_chunks, concept_alignment, phrase_match, ontology_lookup, resolved_relations, association_type, class_mapping, entity_resolver,
@@ -223,14 +224,19 @@ _IN = lambda c, xs: f"{c} IN (" + ", ".join(f"'{x}'" for x in xs) + ")"  # noqa:
 _ASSOC = "CASE " + " ".join(f"WHEN {_IN('sc', s)} AND {_IN('dc', o)} THEN '{n}'" for n, s, o in K.ASSOCIATIONS) + " ELSE 'Association' END"
 _CLASS = "CASE " + " ".join(f"WHEN coalesce({_IN('pre', r)}, false) OR coalesce({_IN('ns', r)}, false) THEN '{n}'" for n, r in sorted(K.CLASS_TABLE, key=lambda x: -len(x[1]))) + " ELSE 'NamedThing' END"
 _SUB = "(VALUES " + ", ".join(f"('{m}', '{k}')" for k, ms in K.EXTRACTOR_PREDICATES.items() for m in ms) + ") sp(child, parent)"
+_HITS = lambda c: f"CASE WHEN {c} > 0 THEN least(0.85, 0.4 + {c} / 20.0) WHEN {c} = 0 THEN 0.15 END"
 _EV = f"""{LIT}, x AS (SELECT er_id AS rel_id, nullif({_NORM.format('subject')}, '') AS s, nullif({_NORM.format('object')}, '') AS o, {_NORM.format('predicate')} AS p FROM extracted_relationship),
- pr AS (SELECT DISTINCT s, o FROM x WHERE s IS NOT NULL AND o IS NOT NULL), fl AS (SELECT src AS s, dst AS o, least(count(*), 120) AS n FROM lit SEMI JOIN pr ON src = s AND dst = o GROUP BY 1, 2),
- tw AS (SELECT pr.s, pr.o, least(count(*), 200) AS n FROM pr JOIN lit a ON a.src = pr.s JOIN lit b ON b.src = a.dst AND b.dst = pr.o WHERE a.dst <> pr.o AND a.dst <> pr.s GROUP BY 1, 2),
+ pr AS MATERIALIZED (SELECT DISTINCT s, o FROM x WHERE s IS NOT NULL AND o IS NOT NULL), ln AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM lit GROUP BY 1, 2),
+ tw AS (SELECT pr.s, pr.o, least(sum(a.n * b.n), 200) AS n FROM pr JOIN ln a ON a.src = pr.s JOIN ln b ON b.src = a.dst AND b.dst = pr.o WHERE a.dst <> pr.o AND a.dst <> pr.s GROUP BY 1, 2),
+ nd AS (SELECT src AS e FROM lit UNION SELECT dst FROM lit), tx AS (SELECT s AS q FROM pr UNION SELECT o FROM pr), nm AS MATERIALIZED (SELECT q, e FROM tx JOIN nd ON contains(e, q)),
+ sl AS MATERIALIZED (SELECT q, dst AS mid, sum(n) AS n FROM nm JOIN ln ON src = e GROUP BY 1, 2), ol AS MATERIALIZED (SELECT q, src AS mid, sum(n) AS n FROM nm JOIN ln ON dst = e GROUP BY 1, 2),
+ fl AS (SELECT pr.s, pr.o, least(sum(ln.n), 120) AS n FROM ln JOIN nm a ON a.e = src JOIN nm b ON b.e = dst JOIN pr ON pr.s = a.q AND pr.o = b.q GROUP BY 1, 2),
+ tl AS (SELECT pr.s, pr.o, least(sum(sl.n * ol.n), 200) AS n FROM pr JOIN sl ON sl.q = pr.s JOIN ol ON ol.q = pr.o AND ol.mid = sl.mid GROUP BY 1, 2),
  ev AS (SELECT rel_id, CASE WHEN h THEN EXISTS (SELECT 1 FROM lit WHERE src = s AND dst = o AND relation = p) END AS exact,
   CASE WHEN h THEN EXISTS (SELECT 1 FROM lit LEFT JOIN {_SUB} ON child = relation WHERE src = s AND dst = o AND (relation = p OR parent = p)) END AS subproperty,
-  CASE WHEN h THEN coalesce(tw.n, 0) END AS twohop, CASE WHEN h THEN coalesce(fl.n, 0) END AS flexible FROM (SELECT *, s IS NOT NULL AND o IS NOT NULL AS h FROM x) LEFT JOIN tw USING (s, o) LEFT JOIN fl USING (s, o)),
- sc AS (SELECT *, coalesce(greatest(CASE WHEN exact THEN 0.95 WHEN NOT exact THEN 0.2 END, CASE WHEN subproperty THEN 0.95 WHEN NOT subproperty THEN 0.2 END,
-  CASE WHEN twohop > 0 THEN least(0.85, 0.4 + twohop / 20.0) WHEN twohop = 0 THEN 0.15 END, CASE WHEN flexible > 0 THEN least(0.85, 0.4 + flexible / 20.0) WHEN flexible = 0 THEN 0.15 END), 0)::DOUBLE AS score FROM ev)"""
+  CASE WHEN h THEN coalesce(tw.n, 0)::BIGINT END AS twohop, CASE WHEN h THEN coalesce(fl.n, 0)::BIGINT END AS flexible, CASE WHEN h THEN coalesce(tl.n, 0)::BIGINT END AS twohop_label
+  FROM (SELECT *, s IS NOT NULL AND o IS NOT NULL AS h FROM x) LEFT JOIN tw USING (s, o) LEFT JOIN fl USING (s, o) LEFT JOIN tl USING (s, o)),
+ sc AS (SELECT *, coalesce(greatest(CASE WHEN exact THEN 0.95 WHEN NOT exact THEN 0.2 END, CASE WHEN subproperty THEN 0.95 WHEN NOT subproperty THEN 0.2 END, {_HITS('twohop')}, {_HITS('flexible')}, {_HITS('twohop_label')}), 0)::DOUBLE AS score FROM ev)"""
 _EXT = {m: k for k, ms in reversed(list(K.EXTRACTOR_PREDICATES.items())) for m in [k, *ms]}
 _PFX = lambda iri, xs: f"len(list_filter([{', '.join(repr(x) for x in xs)}], lambda q: contains({iri}, q))) > 0"
 _SCH = lambda iri, k: "CASE pred " + " ".join(f"WHEN '{n}' THEN {_PFX(iri, v[k])}" for n, v in K.PREFIX_SCHEMA.items()) + " END"
@@ -251,7 +257,7 @@ ORACLES = {
  SELECT ontology_id, CAST(k AS BIGINT) AS chunk_no, string_agg(b, ' ' ORDER BY i) AS chunk FROM c WHERE tag <> 'O' AND k > 0 GROUP BY ontology_id, k""",
     "concept_alignment": f"WITH {_CON} SELECT DISTINCT er_id AS sent_id, concept_id FROM extracted_relationship, con WHERE contains(lower(evidence_text), lower(tr))",
     "phrase_match": rf"""WITH {_CON}, p AS (SELECT concept_id, regexp_extract_all(lower(tr), '[\p{{L}}\p{{N}}]+') AS w FROM con), t AS (SELECT er_id, regexp_extract_all(lower(evidence_text), '[\p{{L}}\p{{N}}]+') AS w FROM extracted_relationship WHERE evidence_text IS NOT NULL),
- s AS (SELECT er_id, w, unnest(range(len(w))) AS i FROM t) SELECT er_id AS id, concept_id AS phrase_id, i AS start FROM s JOIN p ON len(p.w) BETWEEN 1 AND 5 AND s.w[i + 1] = p.w[1] AND s.w[i + 1:i + len(p.w)] = p.w""",
+ s AS (SELECT er_id, w, unnest(range(len(w))) AS i FROM t) SELECT er_id AS id, concept_id AS phrase_id, i AS start FROM s JOIN p ON len(p.w) > 0 AND s.w[i + 1] = p.w[1] AND s.w[i + 1:i + len(p.w)] = p.w""",
     "ontology_lookup": f"WITH RECURSIVE {GRAPH}, {_FORMS} SELECT mention, id, score FROM mp",
     "resolved_relations": f"""WITH RECURSIVE {GRAPH}, {_FORMS}, be AS (SELECT mention, max_by(id, (score, id)) AS id FROM mp GROUP BY mention)
  SELECT rel_id, a.id AS subject_id, b.id AS object_id FROM relations JOIN be a ON a.mention = subject JOIN be b ON b.mention = object""",
@@ -261,10 +267,11 @@ ORACLES = {
     "entity_resolver": f"""WITH RECURSIVE {GRAPH}, {_CON}, lb AS (SELECT id, lower(f) AS l FROM (SELECT id, unnest(list_concat([name], synonyms)) AS f FROM n) WHERE f IS NOT NULL), q AS (SELECT DISTINCT tr AS term, lower(tr) AS q FROM con),
  d AS (SELECT q, min(id) AS id FROM (SELECT DISTINCT q FROM q), lb WHERE contains(l, q) GROUP BY q), r AS (SELECT DISTINCT q, list_filter(string_split_regex(q, '[^a-z0-9]+'), lambda w: w <> '') AS w FROM q WHERE q NOT IN (SELECT q FROM d)),
  f AS (SELECT q, min(id) AS id FROM r, lb WHERE len(w) > 1 AND len(list_filter(w, lambda x: NOT contains(l, x))) = 0 GROUP BY q) SELECT DISTINCT term, id AS entity FROM q JOIN (SELECT * FROM d UNION ALL SELECT * FROM f) USING (q)""",
-    "evidence_hits": f"WITH {_EV} SELECT rel_id, exact, subproperty, twohop, flexible FROM ev",
+    "evidence_hits": f"WITH {_EV} SELECT rel_id, exact, subproperty, twohop, flexible, twohop_label FROM ev",
     "evidence_score": f"WITH {_EV} SELECT rel_id, round(score, 9) AS score FROM sc",
-    "ontology_verdict": f"""WITH RECURSIVE {GRAPH}, v AS (SELECT src, dst, {_PFX("translate(src, ':', '_')", K.PREFIX_SCHEMA['treats'][0])} AS a, {_PFX("translate(dst, ':', '_')", K.PREFIX_SCHEMA['treats'][1])} AS b FROM e)
- SELECT src, dst, a AS subject_in_domain, b AS object_in_range, a AND b AS direction_ok FROM v""",
+    "ontology_verdict": f"""WITH RECURSIVE {GRAPH}, k AS (SELECT *, translate(src, ':', '_') AS si, translate(dst, ':', '_') AS oi FROM e, (SELECT unnest({list(K.PREFIX_SCHEMA)}) AS pred)),
+ v AS (SELECT src, dst, pred, ({_SCH('si', 0)}) AS a, ({_SCH('oi', 1)}) AS b FROM k)
+ SELECT src, dst, pred AS predicate, a AS subject_in_domain, b AS object_in_range, a AND b AS direction_ok FROM v""",
     "verify_relations": f"""WITH RECURSIVE {GRAPH}, {_EV}, ids AS (SELECT {_NORM.format('name')} AS t, translate(min(id), ':', '_') AS iri FROM n WHERE name IS NOT NULL GROUP BY 1),
  j AS (SELECT sc.*, a.iri AS si, b.iri AS oi, {_case('x.p', _EXT, 'x.p')} AS pred FROM sc JOIN x USING (rel_id) LEFT JOIN ids a ON a.t = x.s LEFT JOIN ids b ON b.t = x.o),
  k AS (SELECT *, coalesce(si IS NOT NULL AND oi IS NOT NULL AND {_IN('pred', K.PREDICATE_RO)}, false) AND coalesce(({_SCH('si', 0)}) AND ({_SCH('oi', 1)}), false) AS cons FROM j),
@@ -286,5 +293,5 @@ ORACLES = {
     "kg_merge": f"""WITH m AS (SELECT {_ID.format('ontology_id')} AS id, canonical_name AS name, match_id FROM ontology_match), r AS (SELECT * FROM m WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY match_id % 2 DESC, match_id DESC) = 1) SELECT id, name, match_id FROM r""",
     "kg_flatten": """WITH l AS (SELECT subject AS n, pmid FROM relations WHERE subject IS NOT NULL AND object IS NOT NULL AND action IS NOT NULL UNION SELECT object, pmid FROM relations WHERE subject IS NOT NULL AND object IS NOT NULL AND action IS NOT NULL)
  SELECT DISTINCT subject, predicate, object, a.pmid FROM extracted_relationship JOIN l a ON a.n = subject JOIN l b ON b.n = object AND a.pmid = b.pmid""",
-    "unseen_documents": "SELECT doc_id, pmid FROM documents WHERE pmid IS NOT NULL AND pmid NOT IN (SELECT pmid FROM relations WHERE pmid IS NOT NULL)",
+    "unseen_documents": "SELECT rel_id, pmid FROM relations WHERE pmid IS NOT NULL AND pmid NOT IN (SELECT pmid FROM documents WHERE pmid IS NOT NULL)",
 }

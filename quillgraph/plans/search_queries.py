@@ -45,7 +45,7 @@ def word_overlap(spark, sf):
 
 
 def prefix_suffix(spark, sf):
-    return S.partial_matches(_queries(spark, sf), _terms(spark, sf)).where("confidence > 0.5").select("query_id", "id", F.round("confidence", 9).alias("confidence"))
+    return S.partial_matches(_queries(spark, sf), _terms(spark, sf)).select("query_id", "id", F.round("confidence", 9).alias("confidence"))
 
 
 def abbreviation_search(spark, sf):
@@ -215,7 +215,7 @@ ORACLES = {
  SELECT query_id, id, round(max(c), 9) AS confidence FROM s WHERE c > 0.4 GROUP BY query_id, id""",
     "prefix_suffix": f"""WITH {_T}, {_IDX}, z AS (SELECT query_id, {_IX.format('query')} AS s FROM q), k AS (SELECT query_id, 'prefix' AS kind, s[1:k] AS key, k / length(s) * 0.6 AS c FROM z, range(3, 8) r(k) WHERE length(s) >= k
  UNION ALL SELECT query_id, 'suffix', right(s, k), k / length(s) * 0.5 FROM z, range(3, 8) r(k) WHERE length(s) >= k)
- SELECT query_id, id, round(max(c), 9) AS confidence FROM k JOIN ix USING (kind, key) GROUP BY query_id, id HAVING max(c) > 0.5""",
+ SELECT query_id, id, round(max(c), 9) AS confidence FROM k JOIN ix USING (kind, key) GROUP BY query_id, id""",
     "abbreviation_search": f"""WITH {_T}, u AS (SELECT id, a FROM (SELECT id, unnest(list_concat([name], coalesce(synonyms, []))) AS a FROM t) WHERE regexp_matches(a, '^[A-Z][A-Z0-9]+$')),
  w AS (SELECT query_id, query, list_filter(string_split_regex(trim(query, ' '), '[^A-Za-z]+'), lambda x: x <> '') AS ws FROM q),
  z AS (SELECT query_id, trim(query, ' ') AS a, 0.9::DOUBLE AS c FROM q UNION ALL SELECT query_id, upper(array_to_string([x[1] FOR x IN ws], '')), 0.8::DOUBLE FROM w WHERE len(ws) > 1)
