@@ -101,22 +101,24 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, max_depth: int | None = N
     e = scratch.keep(undirected(edges))
     todo = scratch.keep(pairs.select("a", "b").distinct())
     front = scratch.keep(todo.select("a").distinct().select(F.col("a").alias("start"), F.col("a").alias("node"), F.array("a").alias("path")))
-    seen = front
+    seen = front.select("start", "node")
     found = None
     for depth in count() if max_depth is None else range(max_depth + 1):
         hit = todo.join(front.select(F.col("start").alias("a"), F.col("node").alias("b"), "path"), ["a", "b"]).select("a", "b", F.lit(depth).alias("hops"), "path")
         found = hit if found is None else found.union(hit)
-        todo = scratch.keep(todo.join(front.select(F.col("start").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti"))
-        if todo.isEmpty():
+        todo, seen_todo = scratch.keep_counted(todo.join(front.select(F.col("start").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti"), n=F.count("*"))
+        if not seen_todo["n"]:
             break
         live = todo.select(F.col("a").alias("start")).distinct()
         step = front.join(live, "start", "left_semi").join(e.withColumnRenamed("a", "node"), "node").select("start", F.col("b").alias("to"), "path")
         step = step.join(seen.select("start", F.col("node").alias("to")), ["start", "to"], "left_anti")
-        front = scratch.keep(step.groupBy("start", F.col("to").alias("node")).agg(F.min("path").alias("path")).select(
-            "start", "node", F.concat("path", F.array("node")).alias("path")))
-        if front.isEmpty():
+        front, reached = scratch.keep_counted(step.groupBy("start", F.col("to").alias("node")).agg(F.min("path").alias("path")).select(
+            "start", "node", F.concat("path", F.array("node")).alias("path")), n=F.count("*"))
+        if not reached["n"]:
             break
-        seen = seen.unionByName(front)
+        seen = seen.unionByName(front.select("start", "node"))
+        if depth % 8 == 7:  # one table instead of a growing union
+            seen, found = scratch.keep(seen), scratch.keep(found)
     return found
 
 

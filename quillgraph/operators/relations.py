@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import constants as K
 from quillgraph.functions.text import entity_variants
 from quillgraph.operators.contains import contains_join
-from quillgraph.operators.graph import closure
 
 
 def extract_svo(tokens: DataFrame) -> DataFrame:
@@ -17,17 +19,47 @@ def extract_svo(tokens: DataFrame) -> DataFrame:
     ``tokens``: (doc_id, sent_id, i, text, pos, dep, head_i, ent_type).  Every verb
     that is no auxiliary is combined with all entity subjects and objects in its
     subtree; negated if a direct child of the verb or of the object is a negation.
+    The tokens of one sentence, a bounded number, meet in one row; nothing else is shuffled.
     """
-    t = tokens.withColumn("node", F.struct("doc_id", "sent_id", "i"))
-    head = t.where("head_i <> i").select(F.struct("doc_id", "sent_id", F.col("head_i").alias("i")).alias("src"), F.col("node").alias("dst"))
-    below = closure(head).select(F.col("start").alias("verb"), F.col("node").alias("t")).union(t.select(F.col("node").alias("verb"), F.col("node").alias("t")))
-    verbs = t.where("pos = 'VERB' and dep <> 'aux'").select(F.col("node").alias("verb"), F.col("text").alias("action"))
-    entity = lambda deps, name: t.where(F.col("dep").isin(deps) & (F.col("ent_type") == "ENTITY")).select(F.col("node").alias("t"), F.col("text").alias(name))
-    subjects = below.join(verbs, "verb").join(entity(K.SUBJECT_DEPS, "subject"), "t").select("verb", "action", "subject")
-    objects = below.join(verbs.select("verb"), "verb", "left_semi").join(entity(K.OBJECT_DEPS, "object"), "t").select("verb", F.col("t").alias("obj"), "object")
-    denied = t.where(F.lower("text").isin(K.NEGATIONS) & F.expr("head_i <> i")).select(F.struct("doc_id", "sent_id", F.col("head_i").alias("i")).alias("n")).distinct().withColumn("no", F.lit(True))
-    out = subjects.join(objects, "verb").join(denied.select(F.col("n").alias("verb"), F.col("no").alias("verb_no")), "verb", "left").join(denied.select(F.col("n").alias("obj"), F.col("no").alias("obj_no")), "obj", "left")
-    return out.select("verb.doc_id", "verb.sent_id", "subject", "action", "object", (F.coalesce("verb_no", F.lit(False)) | F.coalesce("obj_no", F.lit(False))).alias("negation"))
+    kinds = dict(tokens.dtypes)
+    sentences = tokens.groupBy("doc_id", "sent_id").agg(F.collect_list(F.struct("i", "text", "pos", "dep", "head_i", "ent_type")).alias("t"))
+    return sentences.mapInArrow(_svo, f"doc_id {kinds['doc_id']}, sent_id {kinds['sent_id']}, subject string, action string, object string, negation boolean")
+
+
+def _svo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    subject_deps, object_deps, negations = frozenset(K.SUBJECT_DEPS), frozenset(K.OBJECT_DEPS), frozenset(K.NEGATIONS)
+    for b in batches:
+        rows, out = [], [[], [], [], []]
+        for n, sentence in enumerate(b.column("t").to_pylist()):
+            kids: dict[int, list[int]] = {}
+            at: dict[int, list[dict]] = {}
+            denied = set()
+            for t in sentence:
+                at.setdefault(t["i"], []).append(t)
+                if t["head_i"] is not None and t["head_i"] != t["i"]:
+                    kids.setdefault(t["head_i"], []).append(t["i"])
+                    if (t["text"] or "").lower() in negations:
+                        denied.add(t["head_i"])
+            for verb in sentence:
+                if verb["pos"] != "VERB" or verb["dep"] == "aux":
+                    continue
+                below, todo = {verb["i"]}, [verb["i"]]
+                while todo:
+                    for k in kids.get(todo.pop(), ()):
+                        if k not in below:
+                            below.add(k)
+                            todo.append(k)
+                inside = [t for k in sorted(below) for t in at.get(k, ()) if t["ent_type"] == "ENTITY"]
+                for s in inside:
+                    if s["dep"] in subject_deps:
+                        for o in inside:
+                            if o["dep"] in object_deps:
+                                rows.append(n)
+                                for c, v in zip(out, (s["text"], verb["text"], o["text"], verb["i"] in denied or o["i"] in denied), strict=True):
+                                    c.append(v)
+        pick = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pick), b.column("sent_id").take(pick), *(pa.array(c, pa.string()) for c in out[:3]), pa.array(out[3], pa.bool_())],
+                                        names=["doc_id", "sent_id", "subject", "action", "object", "negation"])
 
 
 def bio_chunks(tokens: DataFrame) -> DataFrame:

@@ -39,7 +39,8 @@ def direct_neighbours(triples: DataFrame, limit: int = K.LIMIT_NEIGHBOURS, relat
 def entity_details(triples: DataFrame, limit: int = K.LIMIT_DETAILS) -> DataFrame:
     """``entity, label, synonyms, parents``: a label is required, all else optional; at most ``limit`` synonyms, smallest label."""
     label = triples.where("p = 'rdfs:label'").groupBy(F.col("s").alias("entity")).agg(F.min("o").alias("label"))
-    syn = triples.where("p = 'oboInOwl:hasExactSynonym'").groupBy(F.col("s").alias("entity")).agg(F.slice(F.sort_array(F.collect_set("o")), 1, limit).alias("synonyms"))
+    few = top_per_key(triples.where("p = 'oboInOwl:hasExactSynonym'").select("s", "o").distinct(), ["s"], [F.col("o")], limit)
+    syn = few.groupBy(F.col("s").alias("entity")).agg(F.sort_array(F.collect_list("o")).alias("synonyms"))
     up = triples.where("p = 'rdfs:subClassOf'").groupBy(F.col("s").alias("entity")).agg(F.sort_array(F.collect_set("o")).alias("parents"))
     return label.join(syn, "entity", "left").join(up, "entity", "left")
 
@@ -103,9 +104,9 @@ def bootstrap_documents(docs: DataFrame, rounds: int, size: int, key: str = "pmi
 
 
 def sample_report(rows: DataFrame, key: str, text: list[str], per_mille: int = 100) -> DataFrame:
-    """``pmid, report``: side-by-side lines of a hash sample of documents."""
-    s = rows.where(F.pmod(F.xxhash64(key), F.lit(1000)) < per_mille)
-    return s.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" | ", *text))), "\n").alias("report"))
+    """``key, line``: side-by-side lines of a sample of documents, chosen by the MD5 of their key; one row per line, a document may have any number."""
+    at = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 6), 16, 10).cast("long")
+    return rows.where(F.pmod(at, F.lit(1000)) < per_mille).select(key, F.concat_ws(" | ", *text).alias("line"))
 
 
 def dependency_paths(tokens: DataFrame) -> DataFrame:

@@ -102,7 +102,7 @@ def targeted_traversal(spark, sf):
 
 def pagerank(spark, sf):
     seeds = star.nodes(spark, sf).where("ontology = 'chebi'")
-    return G.pagerank(seeds, star.edges(spark, sf)).select("id", F.round("score", 9).alias("score"))
+    return G.pagerank(seeds, star.edges(spark, sf), rounds=20, tolerance=0.0).select("id", F.round("score", 9).alias("score"))
 
 
 def message_passing(spark, sf):
@@ -181,6 +181,10 @@ ORACLES = {
  f AS (SELECT DISTINCT src, dst FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY src, w ORDER BY dst) <= 5)),
  o AS (SELECT start, dst AS node, 1 AS d FROM st JOIN f ON src = start), t AS (SELECT * FROM o UNION ALL SELECT o.start, f.dst, 2 FROM o JOIN f ON f.src = o.node)
  SELECT start, node, CAST(min(d) AS BIGINT) AS depth FROM t WHERE start <> node GROUP BY start, node""",
+    "pagerank": _G + """, b AS MATERIALIZED (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), w AS MATERIALIZED (SELECT a, b, 1.0::DOUBLE / count(*) OVER (PARTITION BY a) AS w FROM b),
+ r AS MATERIALIZED (SELECT id, CASE WHEN ontology = 'chebi' THEN 1.0::DOUBLE / sum(CASE WHEN ontology = 'chebi' THEN 1 ELSE 0 END) OVER () ELSE 0.0::DOUBLE END AS r FROM n WHERE id IN (SELECT a FROM b)), s0 AS (SELECT id, r AS s FROM r)"""
+    + "".join(f", s{k} AS MATERIALIZED (SELECT r.id, coalesce(g.x, 0) * 0.8::DOUBLE + r.r * (1 - 0.8::DOUBLE) AS s FROM r LEFT JOIN (SELECT w.b AS id, sum(s.s * w.w) AS x FROM w JOIN s{k - 1} s ON s.id = w.a GROUP BY 1) g USING (id))" for k in range(1, 21))
+    + " SELECT id, round(s, 9) AS score FROM s20",
     "message_passing": _G + """, v AS (SELECT id, 1.0::DOUBLE AS a, length(coalesce(name, ''))::DOUBLE AS b, len(synonyms)::DOUBLE AS c FROM n),
  g AS (SELECT dst AS id, sum(a) AS x0, sum(b) AS x1, sum(c) AS x2 FROM e JOIN v ON v.id = e.src GROUP BY dst) SELECT *, x0 * x0 + 0.5 * x1 * x1 + 2.0 * x2 * x2 AS self_score FROM g""",
     "entity_context": _G + """, nn AS (SELECT * FROM n WHERE name IS NOT NULL),

@@ -196,7 +196,7 @@ def obo_terms(spark, sf):
 
 
 def kg_merge(spark, sf):
-    """Term rows of the first half of the ids merged with all rows: last name per id."""
+    """Term rows with even ids merged with those with odd ids: last name per term."""
     m = table(spark, sf, "ontology_match").select(curie(F.col("ontology_id")).alias("id"), F.col("canonical_name").alias("name"), "match_id")
     old = upsert(None, m.where("match_id % 2 = 0"), ["id"], [F.col("match_id")])
     return upsert(old, m.where("match_id % 2 = 1"), ["id"], [F.col("match_id")])
@@ -288,6 +288,7 @@ ORACLES = {
     "bioc_stats": f"""WITH {_DOCS} SELECT 'documents' AS measure, '' AS key, count(*) AS n FROM b UNION ALL SELECT 'relations', '', count(*) FROM b UNION ALL SELECT 'entities', '', 2 * count(*) FROM b
  UNION ALL SELECT 'relation_type', relation, count(*) FROM b GROUP BY relation UNION ALL SELECT 'entity_type', k, (SELECT count(*) FROM b) FROM (VALUES ('Entity1'), ('Entity2')) v(k)""",
     "bioc_relations": f"WITH {_DOCS} SELECT relation AS type, true AS novel, count(*) AS n FROM b GROUP BY relation",
+    "cdr_gold": f"WITH {_DOCS} SELECT d AS pmid, count(DISTINCT (entity1, entity2)) AS n_pairs FROM b GROUP BY d",
     "html_paragraphs": r"""SELECT doc_id, nullif(trim(regexp_replace(coalesce(title, 'x'), '\s+', ' ', 'g')), '') AS title, md5(regexp_replace(text, '[\s\p{Z}\x1c-\x1f\x{85}]+', '', 'g')) AS text_md5 FROM documents""",
     "obo_terms": f"""WITH RECURSIVE {GRAPH}, u AS (SELECT dst AS id, string_agg(src, '|' ORDER BY src) AS is_a FROM e GROUP BY dst) SELECT n.id, name, len(synonyms) AS n_synonyms, coalesce(is_a, '') AS is_a FROM n LEFT JOIN u USING (id)""",
     "kg_merge": f"""WITH m AS (SELECT {_ID.format('ontology_id')} AS id, canonical_name AS name, match_id FROM ontology_match), r AS (SELECT * FROM m WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY match_id % 2 DESC, match_id DESC) = 1) SELECT id, name, match_id FROM r""",

@@ -62,9 +62,11 @@ def known_mentions(spark, sf):
 
 
 def bootstrap(spark, sf):
-    """Five rounds of 400 documents, drawn with replacement: distinct documents per round."""
+    """Five rounds of 400 documents, drawn with replacement: draws per round, and whether the distinct documents are as many as chance gives, within 10 %."""
     r = table(spark, sf, "relations")
-    return S.bootstrap_documents(r, 5, 400).groupBy("round").agg(F.count("*").alias("n"), F.count_distinct("pmid").alias("n_distinct"))
+    n = r.select("pmid").distinct().count()
+    draws = S.bootstrap_documents(r, 5, 400).groupBy("round").agg(F.count("*").alias("n"), F.count_distinct("pmid").alias("d"))
+    return draws.select(F.col("round").cast("long"), "n", (F.abs(F.col("d") - n * (1 - (1 - 1 / max(n, 1)) ** 400)) <= 40).alias("by_chance"))
 
 
 def sample_report(spark, sf):
@@ -106,6 +108,12 @@ _G = "WITH RECURSIVE " + GRAPH
 _B = "b AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e)"
 _P = "'has_' || lower(split_part(dst, ':', 1))"
 ORACLES = {
+    "bootstrap": "SELECT r AS round, 400::BIGINT AS n, true AS by_chance FROM range(5) t(r)",
+    "sample_report": """SELECT pmid, concat_ws(' | ', subject, action, object) AS line FROM relations WHERE subject IS NOT NULL AND action IS NOT NULL AND object IS NOT NULL
+ AND pmid IS NOT NULL AND ('0x' || substr(md5(pmid), 1, 6))::BIGINT % 1000 < 100""",
+    "most_similar": """WITH u AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e FROM embeddings),
+ g AS (SELECT list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] + b.e[i] - c.e[i]) AS g FROM u a, u b, u c WHERE a.vec_id = 0 AND b.vec_id = 1 AND c.vec_id = 2)
+ SELECT vec_id AS id, round(list_cosine_similarity(e, g), 5) AS similarity FROM u, g WHERE vec_id NOT IN (0, 1, 2) ORDER BY list_cosine_similarity(e, g) DESC, vec_id LIMIT 10""",
     "direct_neighbours": f"{_G}, {_B} SELECT a AS node, b AS neighbour, row_number() OVER (PARTITION BY a ORDER BY b) AS rank FROM b QUALIFY rank <= 50",
     "related_nodes": f"{_G}, {_B} SELECT a AS node, least(count(*), 20) AS n FROM b GROUP BY a",
     "entity_details": f"""{_G} SELECT n.id AS entity, name AS label, nullif(array_to_string(list_slice(synonyms, 1, 10), '|'), '') AS synonyms, u.p AS parents FROM n

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,22 +27,58 @@ def upsert(stored: DataFrame | None, new: DataFrame, keys: list[str], order: lis
     return kept.select(*fresh.columns).unionByName(fresh)
 
 
-def write_merged(stored_path: str, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> None:
-    """Merge into a Parquet table: the new version is written beside the old one, then takes its place by renames.
+#: Parts of a merged table; a merge rewrites only those that new rows fall into.
+BUCKETS = 64
+
+
+def _files(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
+
+
+def _manifest(spark: SparkSession, folder: str) -> tuple[int, dict]:
+    """Number and content of the newest version; (0, empty) if there is none."""
+    fs, path = _files(spark, folder)
+    numbers = [int(m.group(1)) for f in (fs.globStatus(path(f"{folder}/_version-*.json")) or []) if (m := re.search(r"_version-(\d+)\.json$", f.getPath().toString()))]
+    if not numbers:
+        return 0, {"buckets": BUCKETS, "parts": {}}
+    n = max(numbers)
+    return n, json.loads(spark.read.text(f"{folder}/_version-{n}.json", wholetext=True).first()[0])
+
+
+def read_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest version of a merged table."""
+    _, manifest = _manifest(spark, folder)
+    return spark.read.parquet(*sorted(f"{folder}/{p}" for p in manifest["parts"].values())).drop("_qg_bucket")
+
+
+def write_merged(folder: str, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> None:
+    """Merge new rows into the table of a folder, by key.
 
-    A failure before the renames leaves the old version; a reader never sees half a table.
+    Rows are kept in buckets by the hash of their key.  Only buckets with new rows
+    are written again, beside the old ones; a version file that lists the part of
+    every bucket then appears by one rename.  Readers see the old version or the new
+    one, always whole; a failure before the rename leaves the old one.
     """
     spark = new.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(stored_path).getFileSystem(spark._jsc.hadoopConfiguration())
-    exists = fs.exists(path(stored_path))
-    stored = spark.read.parquet(stored_path) if exists else None
-    upsert(stored, new, keys, order).write.mode("overwrite").parquet(f"{stored_path}.next")
-    if exists:
-        fs.delete(path(f"{stored_path}.old"), True)
-        fs.rename(path(stored_path), path(f"{stored_path}.old"))
-    fs.rename(path(f"{stored_path}.next"), path(stored_path))
-    fs.delete(path(f"{stored_path}.old"), True)
+    number, manifest = _manifest(spark, folder)
+    version = number + 1
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(manifest["buckets"])).cast("int")
+    fresh = new.withColumn("_qg_bucket", bucket)
+    touched = [r[0] for r in fresh.where(F.col("_qg_bucket").isNotNull()).select("_qg_bucket").distinct().collect()]  # at most the number of buckets
+    old = [f"{folder}/{manifest['parts'][str(b)]}" for b in touched if str(b) in manifest["parts"]]
+    stored = spark.read.parquet(*old) if old else None
+    merged = upsert(stored, fresh, [*keys, "_qg_bucket"], order)
+    merged.repartition("_qg_bucket").withColumn("part", F.col("_qg_bucket")).write.mode("overwrite").partitionBy("part").parquet(f"{folder}/data-{version}")
+    fs, path = _files(spark, folder)
+    parts = manifest["parts"] | {str(b): f"data-{version}/part={b}" for b in touched if fs.exists(path(f"{folder}/data-{version}/part={b}"))}
+    text = json.dumps({"buckets": manifest["buckets"], "parts": parts})
+    draft = path(f"{folder}/_draft-{version}")
+    out = fs.create(draft, True)
+    out.write(text.encode())
+    out.close()
+    if not fs.rename(draft, path(f"{folder}/_version-{version}.json")):
+        raise RuntimeError(f"version {version} of {folder} was written by somebody else")
 
 
 def flatten_graph(located: DataFrame, links: DataFrame) -> DataFrame:
