@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import similarity as S
 from quillgraph.operators.contains import top_per_key
+from quillgraph.session import Scratch
 
 NOT_IN_GOLD, NOT_PREDICTED = "NOT_IN_GOLD", "NOT_PREDICTED"
 
@@ -31,18 +32,55 @@ def match_exact(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     return hit.unionByName(miss)
 
 
+def similar_texts(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFrame:
+    """``x, y, ratio``: all pairs of texts (left: x, right: y) with a ratio of at least ``least`` (above 2/3), without comparing all.
+
+    Exact.  A ratio r means common characters of at least r/2 of both lengths, so a
+    text of n characters keeps at least (3r - 2) / (2 - r) * n - 1 of its bigrams;
+    it is enough to look up the rarest ones that cannot all be missing.  Texts too
+    short to promise a bigram are looked up by their characters.
+    """
+    x, y = left.select("x").where("length(x) > 0").distinct(), right.select("y").where("length(y) > 0").distinct()
+    keep = (3 * least - 2) / (2 - least)
+    short = int(2 / keep)  # longer texts keep a bigram
+    reach = int(short * (2 - least) / least) + 1  # what such a text can resemble
+
+    def keys(df: DataFrame, c: str) -> DataFrame:
+        n = F.length(c)
+        grams = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+        # the k-th occurrence of a bigram is a key of its own
+        seen = F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda h: h == g)).cast("string")))
+        letters = F.when(n <= reach, F.array_distinct(F.split(F.col(c), ""))).otherwise(F.array().cast("array<string>"))
+        # short texts by all their letters, the others by bigrams, of which some may be left out
+        spare = F.when(n > short, F.greatest(F.floor(keep * n - 1 - 1e-9), F.lit(0))).otherwise(F.lit(0)).cast("int")
+        return df.select(c, F.explode(F.concat(F.transform(seen, lambda g: F.struct(F.lit(2).alias("k"), g.alias("g"))), F.transform(letters, lambda g: F.struct(F.lit(1).alias("k"), g.alias("g"))))).alias("e"), spare.alias("spare")).select(
+            c, "e.k", "e.g", "spare").where("g <> ''")
+
+    kx, ky = keys(x, "x"), keys(y, "y")
+    counts = kx.select("k", "g").union(ky.select("k", "g")).groupBy("k", "g").agg(F.count("*").alias("n"))
+
+    def rare(df: DataFrame, c: str) -> DataFrame:
+        w = Window.partitionBy(c, "k").orderBy("n", "g")
+        whole = df.join(counts, ["k", "g"]).withColumns({"at": F.row_number().over(w), "size": F.count("*").over(Window.partitionBy(c, "k"))})
+        return whole.where((F.col("k") == 1) | (F.col("at") <= F.col("size") - F.col("spare"))).select(c, "k", "g")
+
+    pairs = rare(kx, "x").join(rare(ky, "y"), ["k", "g"]).select("x", "y").distinct()
+    bound = 2 * F.least(F.length("x"), F.length("y")) / (F.length("x") + F.length("y")) >= least
+    return pairs.where(bound).withColumn("ratio", S.ratio_udf("x", "y")).where(F.col("ratio") >= least)
+
+
 def match_fuzzy(predicted: DataFrame, gold: DataFrame, least: float = 0.8) -> DataFrame:
     """``pred_id, gold_id``: for every prediction the first true triple with its predicate and similar ends (each at least ``least``).
 
-    Pairs are blocked by predicate; a lossless length bound comes before the ratio,
-    which runs once per distinct pair of ends.
+    Similar ends are found once over all distinct texts; triples then meet on equal keys.
     """
-    p = predicted.select("p", "s", "o").distinct()
-    g = gold.select("p", F.col("s").alias("gs"), F.col("o").alias("go")).distinct()
-    bound = lambda a, b: 2 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b)) >= least
-    near = p.join(g, "p").where(bound("s", "gs") & bound("o", "go"))
-    near = near.withColumn("rs", S.ratio_udf("s", "gs")).where(F.col("rs") >= least).withColumn("ro", S.ratio_udf("o", "go")).where(F.col("ro") >= least)
-    first = near.join(gold.select("p", F.col("s").alias("gs"), F.col("o").alias("go"), "gold_id"), ["p", "gs", "go"]).groupBy("p", "s", "o").agg(F.min("gold_id").alias("gold_id"))
+    scratch = Scratch(predicted.sparkSession, "fuzzy")
+    ends = lambda df, n: df.select(F.col("s").alias(n)).union(df.select("o")).distinct()
+    near = scratch.keep(similar_texts(ends(predicted, "x"), ends(gold, "y"), least).select("x", "y"))
+    p = predicted.select("p", "s", "o").distinct().join(near.select(F.col("x").alias("s"), F.col("y").alias("gs")), "s")
+    g = gold.groupBy("p", F.col("s").alias("gs"), F.col("o").alias("go")).agg(F.min("gold_id").alias("gold_id"))
+    hit = p.join(g, ["p", "gs"]).join(near.select(F.col("x").alias("o"), F.col("y").alias("go")), ["o", "go"])
+    first = hit.groupBy("p", "s", "o").agg(F.min("gold_id").alias("gold_id"))
     return predicted.join(first, ["p", "s", "o"]).select("pred_id", "gold_id")
 
 

@@ -9,6 +9,7 @@ from quillgraph.functions import text as T
 from quillgraph.operators import evaluation as E
 from quillgraph.operators import graph as G
 from quillgraph.operators import search as S
+from quillgraph.plans.graph_queries import ORACLES as GRAPH_ORACLES
 from quillgraph.plans.tables import table
 from quillgraph.plans.text_queries import _case
 from quillgraph.sources import star
@@ -204,7 +205,16 @@ def _tf(src: str, key: str, col: str) -> str:
     return f"""(SELECT {key}, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS term FROM (SELECT {key}, list_filter(regexp_extract_all(lower({col}), '[a-z0-9]{{2,}}'), lambda x: x NOT IN {_STOP}) AS w FROM {src}))"""
 
 
+_ENRICHED = """, idx AS (SELECT id, """ + _IX.format("name") + """ AS t FROM n WHERE name IS NOT NULL), dc AS (SELECT match_id AS doc_id, entity_text AS text FROM ontology_match WHERE entity_text IS NOT NULL),
+ mt AS (SELECT doc_id, idx.id FROM dc JOIN idx ON idx.t = """ + _IX.format("dc.text") + """),
+ cx AS (SELECT id, s, row_number() OVER (PARTITION BY id ORDER BY o) - 1 AS k FROM (SELECT * FROM dd QUALIFY row_number() OVER (PARTITION BY id ORDER BY o) <= 6)),
+ li AS (SELECT doc_id, s, min((cx.id, k)) AS o FROM mt JOIN cx USING (id) GROUP BY doc_id, s), fw AS (SELECT * FROM li QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY o, s) <= 8),
+ jo AS (SELECT doc_id, string_agg(s, ' ; ' ORDER BY o, s) AS c FROM fw GROUP BY doc_id)
+ SELECT dc.doc_id, CASE WHEN c IS NULL THEN text ELSE text || ' [ONTO] ' || c END AS text FROM dc LEFT JOIN jo USING (doc_id)"""
+_CONTEXT = GRAPH_ORACLES["entity_context"]
+
 ORACLES = {
+    "enriched_text": _CONTEXT[:_CONTEXT.index(" SELECT id, string_agg(s, ' ; ' ORDER BY o) AS context")].rstrip() + _ENRICHED,
     "scored_search": _scored("true", 5),
     "search_by_ontology": _scored("lower(split_part(id, ':', 1)) IN ('mondo', 'doid')", 3),
     "term_index": f"WITH {_T}, {_IDX} SELECT kind, key, count(*) AS n, min(id) AS first_id FROM ix GROUP BY kind, key",

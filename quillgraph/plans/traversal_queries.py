@@ -83,9 +83,9 @@ def tagged_words(spark, sf):
 
 
 def dictionary_tags(spark, sf):
-    """Names of the canonical list in the evidence texts."""
+    """Names of the canonical list in the typed entity texts."""
     names = [(r[0], r[1]) for r in table(spark, sf, "canonical_terms").select("canonical_name", "biolink_type").collect()]  # the fixed reference list
-    return P.tag_with(table(spark, sf, "extracted_relationship"), "er_id", "evidence_text", P.DictionaryTagger(names))
+    return P.tag_with(table(spark, sf, "stored_entity"), "entity_id", "text", P.DictionaryTagger(names))
 
 
 def model_extraction(spark, sf):
@@ -94,8 +94,8 @@ def model_extraction(spark, sf):
 
 
 def case_graph(spark, sf):
-    """Abstracts of the evaluation documents to mapped relations."""
-    d = table(spark, sf, "results_bioc").where("abstract is not null").select(F.col("document_id").alias("doc_id"), F.col("abstract").alias("text")).distinct()
+    """Evidence texts to mapped relations."""
+    d = table(spark, sf, "extracted_relationship").where("evidence_text is not null").select(F.col("er_id").alias("doc_id"), F.col("evidence_text").alias("text"))
     return P.text_to_graph(d, star.nodes(spark, sf), G.degrees(star.edges(spark, sf)), lambda t: P.extract_with_model(t, "doc_id", "text"))
 
 
