@@ -97,8 +97,57 @@ def abbreviation_matches(queries: DataFrame, terms: DataFrame) -> DataFrame:
     return q.join(up, "a").groupBy("query_id", "id").agg(F.max("confidence").alias("confidence"))
 
 
-def fuzzy_matches(queries: DataFrame, terms: DataFrame, least: float = 0.85, top: int = 10) -> DataFrame:
-    """``query_id, id, confidence``: terms with a weighted ratio of at least ``least``, found among those that share the first or last three characters or a word."""
+#: Queries that one pass of the exact fuzzy search compares with every term.
+FUZZY_BLOCK = 2_000
+
+
+def _fuzzy_block(texts: list[str], least: float):
+    """Terms (id, term) against a block of queries: character counts rule out almost all pairs, the rest is scored."""
+    letters = {c: k for k, c in enumerate(sorted(set("".join(texts))))}
+
+    def counts(text: str) -> np.ndarray:
+        return np.bincount([letters[c] for c in text if c in letters], minlength=len(letters) or 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = np.stack([counts(t) for t in texts]).astype(np.int16)
+        size = np.array([len(t) for t in texts])
+        for b in batches:
+            rows = []
+            for ident, term in zip(b["id"], b["term"], strict=True):
+                shared = np.minimum(own, counts(term).astype(np.int16)).sum(1)
+                few, many = np.minimum(size, len(term)), np.maximum(size, len(term))
+                # no ratio is above the one of the common characters, no window ratio above the part of the shorter text they make up
+                whole = 2 * shared / (size + len(term))
+                window = np.where(many < 1.5 * few, 0.0, np.where(many <= 8 * few, 0.9, 0.6) * shared / few)
+                for k in np.flatnonzero(np.maximum(whole, window) >= least - 1e-9).tolist():
+                    score = S.weighted(texts[k], term, least)
+                    if score >= least:
+                        rows.append((texts[k], ident, score))
+            yield pd.DataFrame(rows, columns=["q", "id", "confidence"])
+
+    return run
+
+
+def fuzzy_matches(queries: DataFrame, terms: DataFrame, least: float = 0.85, top: int = 10, exact: bool = True) -> DataFrame:
+    """``query_id, id, confidence``: the ``top`` terms with a weighted ratio of at least ``least``.
+
+    By default the query set goes in blocks against every term, with the result of
+    comparing all.  ``exact=False`` compares only terms that share the first or last
+    three characters or a word with the query, which can miss some.
+    """
+    if exact:
+        q = queries.select("query_id", index_text(F.col("query")).alias("q")).where("q <> ''")
+        texts = sorted(r[0] for r in q.select("q").distinct().collect())  # the query set
+        t = all_terms(terms)
+        kind = dict(t.dtypes)["id"]
+        found = None
+        for k in range(0, len(texts), FUZZY_BLOCK):
+            part = t.select("id", "term").mapInPandas(_fuzzy_block(texts[k:k + FUZZY_BLOCK], least), f"q string, id {kind}, confidence double")
+            found = part if found is None else found.unionByName(part)
+        if found is None:
+            found = queries.sparkSession.createDataFrame([], f"q string, id {kind}, confidence double")
+        best = found.groupBy("q", "id").agg(F.max("confidence").alias("confidence"))
+        return q.join(top_per_key(best, ["q"], [F.desc("confidence"), F.col("id")], top), "q").select("query_id", "id", "confidence")
     q = queries.select("query_id", index_text(F.col("query")).alias("q")).where("q <> ''")
     t = all_terms(terms)
     keys = lambda c: F.array_distinct(F.concat(F.filter(F.split(c, " "), lambda w: F.length(w) > 2), F.array(F.concat(F.lit("<"), F.substring(c, 1, 3)), F.concat(F.lit(">"), F.right(c, F.lit(3))))))
