@@ -39,11 +39,11 @@ def _files(spark: SparkSession, folder: str):
 def _manifest(spark: SparkSession, folder: str) -> tuple[int, dict]:
     """Number and content of the newest version; (0, empty) if there is none."""
     fs, path = _files(spark, folder)
-    numbers = [int(m.group(1)) for f in (fs.globStatus(path(f"{folder}/_version-*.json")) or []) if (m := re.search(r"_version-(\d+)\.json$", f.getPath().toString()))]
+    numbers = [int(m.group(1)) for f in (fs.globStatus(path(f"{folder}/version-*.json")) or []) if (m := re.search(r"version-(\d+)\.json$", f.getPath().toString()))]
     if not numbers:
         return 0, {"buckets": BUCKETS, "parts": {}}
     n = max(numbers)
-    return n, json.loads(spark.read.text(f"{folder}/_version-{n}.json", wholetext=True).first()[0])
+    return n, json.loads(spark.read.text(f"{folder}/version-{n}.json", wholetext=True).first()[0])
 
 
 def read_merged(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,11 +73,11 @@ def write_merged(folder: str, new: DataFrame, keys: list[str], order: list[Colum
     fs, path = _files(spark, folder)
     parts = manifest["parts"] | {str(b): f"data-{version}/part={b}" for b in touched if fs.exists(path(f"{folder}/data-{version}/part={b}"))}
     text = json.dumps({"buckets": manifest["buckets"], "parts": parts})
-    draft = path(f"{folder}/_draft-{version}")
+    draft = path(f"{folder}/draft-{version}")
     out = fs.create(draft, True)
     out.write(text.encode())
     out.close()
-    if not fs.rename(draft, path(f"{folder}/_version-{version}.json")):
+    if not fs.rename(draft, path(f"{folder}/version-{version}.json")):
         raise RuntimeError(f"version {version} of {folder} was written by somebody else")
 
 

@@ -37,11 +37,12 @@ def test_association_and_class(spark):
 
 
 def test_verification(spark):
-    t = spark.createDataFrame([("a", "causes", "b"), ("a", "x", "m"), ("m", "y", "c"), ("a", "sub", "d")], "s string, p string, o string")
+    t = spark.createDataFrame([("a", "causes", "b"), ("a", "x", "m"), ("m", "y", "c"), ("a", "sub", "d"), ("a2", "z", "c")], "s string, p string, o string")
+    labels = spark.createDataFrame([("a", "A !"), ("b", "b !"), ("c", "c"), ("d", "d"), ("m", "m"), ("a2", "big a")], "entity string, label string")
     sub = spark.createDataFrame([("sub", "top")], "child string, parent string")
     r = spark.createDataFrame([(1, "a", "causes", "b"), (2, "a", "p", "c"), (3, "a", "top", "d"), (4, None, "p", "c"), (5, "q", "p", "c")], "rel_id int, s string, p string, o string")
-    ev = V.evidence(r, t, sub)
-    assert rows(ev) == [(1, True, True, 0, 1), (2, False, False, 1, 0), (3, False, True, 0, 1), (4, None, None, None, None), (5, False, False, 0, 0)]
+    ev = V.evidence(r, t, sub, labels)
+    assert rows(ev) == [(1, True, True, 0, 1, 0), (2, False, False, 1, 1, 1), (3, False, True, 0, 1, 0), (4, None, None, None, None, None), (5, False, False, 0, 0, 0)]
     score = {x.rel_id: x.score for x in V.evidence_score(ev).collect()}
     assert score == {1: 0.95, 2: pytest.approx(0.45), 3: 0.95, 4: 0.0, 5: 0.2}
     v = V.verdict(spark.createDataFrame([("treats", "CHEBI_1", "MONDO_1"), ("treats", "MONDO_1", "CHEBI_1"), ("odd", "CHEBI_1", "MONDO_1")], "predicate string, s_iri string, o_iri string"))
