@@ -15,7 +15,8 @@ def test_core_does_not_import_the_optional_package():
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="test tables are not here")
-@pytest.mark.parametrize("name", ["scored_search", "parents_children", "evidence_score", "classifier_report", "svo_extract", "p5_found"])
+@pytest.mark.parametrize("name", ["scored_search", "parents_children", "evidence_score", "classifier_report", "svo_extract", "p5_found", "p5_descendants", "explore_depth_first", "connecting_paths",
+                                  "two_hop_paths", "phrase_match", "enriched_text", "bootstrap", "sample_report", "label_codes", "unseen_documents"])
 def test_queries_match_sql(spark, name):
     import __spark_entry__ as entry
 
