@@ -138,14 +138,16 @@ def fuzzy_matches(queries: DataFrame, terms: DataFrame, least: float = 0.85, top
     if exact:
         q = queries.select("query_id", index_text(F.col("query")).alias("q")).where("q <> ''")
         texts = sorted(r[0] for r in q.select("q").distinct().collect())  # the query set
-        t = all_terms(terms)
+        spark = queries.sparkSession
+        # comparing is the work here, however small the table of terms
+        t = all_terms(terms).repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         kind = dict(t.dtypes)["id"]
         found = None
         for k in range(0, len(texts), FUZZY_BLOCK):
             part = t.select("id", "term").mapInPandas(_fuzzy_block(texts[k:k + FUZZY_BLOCK], least), f"q string, id {kind}, confidence double")
             found = part if found is None else found.unionByName(part)
         if found is None:
-            found = queries.sparkSession.createDataFrame([], f"q string, id {kind}, confidence double")
+            found = spark.createDataFrame([], f"q string, id {kind}, confidence double")
         best = found.groupBy("q", "id").agg(F.max("confidence").alias("confidence"))
         return q.join(top_per_key(best, ["q"], [F.desc("confidence"), F.col("id")], top), "q").select("query_id", "id", "confidence")
     q = queries.select("query_id", index_text(F.col("query")).alias("q")).where("q <> ''")
