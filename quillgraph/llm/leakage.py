@@ -2,7 +2,7 @@
 
 Method: latent semantic retrieval.
 1. One pass counts in how many documents each word of the evaluation items
-   occurs (all documents; only the items' words are kept).
+   occurs (all documents, long ones in parts; only the items' words are kept).
 2. A randomised SVD of TF-IDF passages gives the latent space.  It is fitted on
    the items' passages and a bounded, documented sample of corpus passages by
    distributed power iteration: tasks add up sketches A'(AQ), the driver only
@@ -29,9 +29,11 @@ import unicodedata
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,8 @@ from quillgraph.session import Scratch
 WINDOW, STEP = 32, 16
 #: Latent dimensions (and extra ones for the random sketch).
 RANK, EXTRA = 128, 8
+#: Words are counted by documents; one of more words counts as several of about equal length, as long texts hold nearly every word.
+COUNT_WORDS = 1_024
 #: Words held by more than this share of the documents carry no weight.
 MAX_DOC_SHARE = 0.2
 #: Words in at most this share of the documents are content words, the anchors of verification.
@@ -57,6 +61,8 @@ MAX_GAP = 40
 FIT_DOCS = 5_000
 #: Items per block (about 40 MB in a task), and blocks that one pass over the corpus searches.
 ITEM_BLOCK, PASS_BLOCKS = 2_000, 8
+#: Documents, bytes of text and words that a task works on at a time; they bound its memory, not what is searched.
+SLICE_DOCS, SLICE_BYTES, PIECE = 256, 2_000_000, 65_536
 #: Share of an item's words that one passage must reproduce.
 MIN_SHARE = 1 / 3
 
@@ -104,6 +110,32 @@ def passages(texts: list[np.ndarray], keep: np.ndarray) -> tuple[np.ndarray, np.
     return r[order], c[order], owner, start
 
 
+def pieces(texts: list[np.ndarray]) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """Groups of (text, start, words) of about ``PIECE`` words; a longer text is cut so that its passages stay the same."""
+    group, n = [], 0
+    for k, x in enumerate(texts):
+        for lo in range(0, max(1, len(x) - (WINDOW - STEP)), PIECE):
+            part = x[lo:lo + PIECE + WINDOW - STEP]
+            if group and n + len(part) > PIECE:
+                yield group
+                group, n = [], 0
+            group.append((k, lo, part))
+            n += len(part)
+    if group:
+        yield group
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of runs of at most ``SLICE_DOCS`` rows and, unless it is one row, ``SLICE_BYTES``."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(texts):
+        most = SLICE_BYTES + (int(upto[lo - 1]) if lo else 0)
+        hi = max(lo + 1, min(lo + SLICE_DOCS, int(np.searchsorted(upto, most, side="right"))))
+        yield lo, texts.slice(lo, hi - lo).to_pylist()
+        lo = hi
+
+
 def gather(rows: np.ndarray, cols: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(passages that have words, sum of the matrix rows of their words)."""
     if not len(rows):
@@ -124,28 +156,39 @@ class Items:
         self.answers = [words(m.group(1)) if (m := re.search(r"\banswer:\s*(.+?)\s*$", r[1], re.I | re.S)) else [] for r in rows]
 
     def encode(self, text: str) -> np.ndarray:
-        get = self.vocab.get
-        return np.array([get(w, -1) for w in words(text)], np.int32)
+        return self.codes(words(text))
+
+    def codes(self, tokens: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.vocab.get, tokens, repeat(-1)), np.int32, len(tokens))
 
 
 def _doc_counter(vocab: dict[str, int]):
-    """Per task: in how many documents each word of ``vocab`` occurs, and the number of documents as word -1."""
+    """Per task: in how many documents (long ones in parts) each word of ``vocab`` occurs, as word -1 the number of these, as word -2 that of whole documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        known, n = vocab.keys(), 0
+        known, n, whole = vocab.keys(), 0, 0
         for b in batches:
-            for text in b.column(0).to_pylist():
-                seen.update(known & set(words(text)))
-                n += 1
+            for _, texts in _slices(b.column(0)):
+                for text in texts:
+                    found = words(text)
+                    parts = max(1, -(-len(found) // COUNT_WORDS))
+                    size = -(-len(found) // parts)
+                    for k in range(parts):
+                        seen.update(known & set(found[k * size:(k + 1) * size]))
+                    n += parts
+                whole += len(texts)
         hit = list(seen)
-        yield pa.RecordBatch.from_pydict({"word": pa.array([*(vocab[w] for w in hit), -1], pa.int32()), "n": pa.array([*(seen[w] for w in hit), n], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"word": pa.array([*(vocab[w] for w in hit), -1, -2], pa.int32()), "n": pa.array([*(seen[w] for w in hit), n, whole], pa.int64())})
     return run
 
 
 def _encoder(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([items.encode(t).tolist() for t in b.column(0).to_pylist()], pa.list_(pa.int32()))], names=["w"])
+            for _, texts in _slices(b.column(0)):
+                coded = [items.encode(t) for t in texts]
+                ends = np.cumsum([0, *map(len, coded)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(coded)))], names=["w"])
     return run
 
 
@@ -156,10 +199,12 @@ def _sketcher(keep: np.ndarray, idf: np.ndarray, q: np.ndarray, rows_per_block:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(scaled.shape, np.float32)
         for b in batches:
-            texts = [np.array(x, np.int32) for x in b.column(0).to_pylist()]
-            r, c, _, _ = passages(texts, keep)
-            if len(r):
-                total += back_project(r, c, scaled, idf)
+            ends = b.column(0).offsets.to_numpy()
+            flat = b.column(0).values.to_numpy()
+            for group in pieces([flat[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]):
+                r, c, _, _ = passages([x for _, _, x in group], keep)
+                if len(r):
+                    total += back_project(r, c, scaled, idf)
         for k in range(0, len(total), rows_per_block):
             yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "data": pa.array([total[k:k + rows_per_block].tobytes()], pa.binary())})
     return run
@@ -341,18 +386,24 @@ class TripleIndex:
 
     def shared(self, coded: list[np.ndarray], least: np.ndarray) -> dict[tuple[int, int], list[int]]:
         """Positions of the shared triples of every (document, item) with at least ``least[item]`` distinct ones."""
-        gap = np.full(2, -1, np.int64)  # no triple crosses two documents
+        gap = np.full(2, -1, np.int32)  # no triple crosses two documents
         flat = np.concatenate([y for x in coded for y in (x, gap)])
         lens = np.array([len(x) + 2 for x in coded], np.int64)
         base = np.cumsum(lens) - lens
-        a, b, c = flat[:-2], flat[1:-1], flat[2:]
-        pos = np.flatnonzero((a >= 0) & (b >= 0) & (c >= 0))
-        code = (a[pos] * self.base + b[pos]) * self.base + c[pos]
-        if not len(self.codes) or not len(pos):
+        if not len(self.codes):
+            return {}
+        hits = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for lo in range(0, len(flat) - 2, PIECE):
+            x = flat[lo:lo + PIECE + 2].astype(np.int64)
+            a, b, c = x[:-2], x[1:-1], x[2:]
+            pos = np.flatnonzero((a >= 0) & (b >= 0) & (c >= 0))
+            code = (a[pos] * self.base + b[pos]) * self.base + c[pos]
+            k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            known = self.codes[k] == code
+            hits.append((lo + pos[known], k[known]))
+        pos, k = (np.concatenate(x) for x in zip(*hits, strict=True))
+        if not len(pos):
             return {}
-        k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        known = self.codes[k] == code
-        pos, k = pos[known], k[known]
         n = self.count[k]
         row = np.repeat(np.arange(len(k)), n)
         item = self.items[self.first[k][row] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
@@ -362,6 +413,8 @@ class TripleIndex:
         # a pair has no more distinct triples than positions
         many = np.bincount(pair, minlength=len(coded) * self.n_items)[pair] >= least[item]
         pos, k, doc, pair = pos[many], k[many], doc[many], pair[many]
+        if not len(pos):
+            return {}
         order = np.argsort(pair * len(self.codes) + k, kind="stable")
         new_pair = np.flatnonzero(np.diff(pair[order], prepend=-1))
         new_code = np.diff(k[order], prepend=-1) != 0
@@ -417,8 +470,7 @@ class Search:
 
     def leaks(self, tokens: list[list[str]]) -> Iterator[tuple[int, int, int, float, bool]]:
         """(document, item, words, share, answer) of every leak; documents and items by position."""
-        get = self.items.vocab.get
-        coded = [np.array([get(w, -1) for w in t], np.int32) for t in tokens]
+        coded = [self.items.codes(x) for x in tokens]
         literal = self.index.shared(coded, self.least)
         near = self._near(coded)
         for pair, starts in literal.items():
@@ -446,17 +498,20 @@ class Search:
 
     def _near(self, coded: list[np.ndarray]) -> dict[tuple[int, int], list[int]]:
         """Starts of the passages whose cosine with a passage of the item is above the threshold, by (document, item)."""
-        doc_of, start, z = self._project(coded)
-        norm = np.linalg.norm(z, axis=1)
-        strong = np.flatnonzero(norm > MIN_COSINE * self.damp)  # a weaker passage can't reach the threshold
-        z = z[strong] / np.maximum(norm[strong], self.damp)[:, None]
         near: dict[tuple[int, int], list[int]] = {}
-        for lo in range(0, len(z), 2048):
-            score = z[lo:lo + 2048] @ self.queries
-            p, q = np.divmod(np.flatnonzero(score > MIN_COSINE), score.shape[1])
-            h = strong[lo + p]
-            for d, s, i in zip(doc_of[h].tolist(), start[h].tolist(), self.owner[q].tolist(), strict=True):
-                near.setdefault((d, i), []).append(s)
+        for group in pieces(coded):
+            piece, start, z = self._project([x for _, _, x in group])
+            norm = np.linalg.norm(z, axis=1)
+            strong = np.flatnonzero(norm > MIN_COSINE * self.damp)  # a weaker passage can't reach the threshold
+            z = z[strong] / np.maximum(norm[strong], self.damp)[:, None]
+            doc_of = np.array([k for k, _, _ in group], np.int64)[piece]
+            start = start + np.array([lo for _, lo, _ in group], np.int64)[piece]
+            for lo in range(0, len(z), 2048):
+                score = z[lo:lo + 2048] @ self.queries
+                p, q = np.divmod(np.flatnonzero(score > MIN_COSINE), score.shape[1])
+                h, i = strong[lo + p], self.owner[q]
+                for d, s, k in zip(doc_of[h].tolist(), start[h].tolist(), i.tolist(), strict=True):
+                    near.setdefault((d, k), []).append(s)
         return near
 
     def _project(self, coded: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -506,6 +561,8 @@ class Search:
             done = s + WINDOW // 2
             held = around.get((d, s))
             if held is None:
+                if len(around) >= 4096:  # bounded memory
+                    around.clear()
                 held = around[d, s] = frozenset(doc[max(0, s - self.far):s + WINDOW + self.far].tolist())
             # bounds that lose nothing: words in order are words held
             enough = len(rare) and len(self.rare_sets[i] & held) + len(rare) - len(self.rare_sets[i]) >= need
@@ -535,10 +592,10 @@ def _searcher(blocks: list[tuple[Items, np.ndarray, np.ndarray, np.ndarray]], mi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searches = [Search(*b, min_share) for b in blocks]
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ids = b.column(0).to_pylist()
             out: list[list] = [[], [], [], [], []]
-            for lo in range(0, len(texts), 256):
-                tokens = [words(t) for t in texts[lo:lo + 256]]
+            for lo, texts in _slices(b.column(1)):
+                tokens = [words(t) for t in texts]
                 for s in searches:
                     for d, i, n, share, told in s.leaks(tokens):
                         for col, v in zip(out, (ids[lo + d], s.items.ids[i], n, share, told), strict=True):
@@ -572,12 +629,12 @@ def find_leaks(docs: DataFrame, doc_col: str, text_col: str, items: DataFrame, i
     blocks = [Items(rows[k:k + ITEM_BLOCK]) for k in range(0, len(rows), ITEM_BLOCK)]
     vocab = {w: i for i, w in enumerate(dict.fromkeys(w for b in blocks for w in b.vocab))}
     counts = corpus.select("text").mapInArrow(_doc_counter(vocab), "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()  # the items' words
-    df = np.zeros(len(vocab) + 1)
+    df = np.zeros(len(vocab) + 2)
     for r in counts:
         df[r.word] = r.n
-    total = int(df[-1])
-    sample = corpus if total <= fit_docs else corpus.where(
-        F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < F.lit(max(1, round(1_000_000 * fit_docs / total))))
+    total, whole = int(df[-1]), int(df[-2])
+    sample = corpus if whole <= fit_docs else corpus.where(
+        F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < F.lit(max(1, round(1_000_000 * fit_docs / whole))))
     sample = scratch.keep(sample.select("text")) if len(blocks) > 1 else sample.select("text")
     ready = []
     for b in blocks:

@@ -1,8 +1,10 @@
 import random
 import sys
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
@@ -205,3 +207,59 @@ def test_triple_index():
     for (d, i), pos in got.items():
         x = docs[d].astype(np.int64)
         assert pos == [p for p in range(len(x) - 2) if min(x[p:p + 3]) >= 0 and L._triples(x[p:p + 3], 6)[0] in triples[i]]
+
+
+def test_long_documents(spark):
+    """Items in documents so long that each holds nearly every word of the field are found."""
+    r = random.Random(17)
+    names = [f"{x}{y}" for x in NAMES for y in NAMES]
+    say = lambda: f"The effect of {r.choice(names)} on {r.choice(names)} was strong in {r.choice(names)} cells, and {r.choice(names)} fell by {r.randrange(9, 99)} percent."
+    items = [(i, " ".join(say() for _ in range(5)) + f" Answer: yes, through KX{i}q.") for i in range(20)]
+    docs, truth = [], set()
+    for d in range(12):
+        own = [say() for _ in range(1_500)]
+        for k in {d % 20, (d + 7) % 20}:
+            own.insert(r.randrange(len(own)), " ".join(items[k][1].split()[:40]))
+            truth.add((d, k))
+        docs.append((d, " ".join(own)))
+    got = {(x[0], x[1]) for x in L.find_leaks(spark.createDataFrame(docs, "doc bigint, text string"), "doc", "text",
+                                              spark.createDataFrame(items, "item bigint, text string"), "item", "text").collect()}
+    assert got == truth
+
+
+def test_memory_of_long_documents():
+    """A task holds the words of a few documents at a time, however long a batch of them is."""
+    r = random.Random(19)
+    items = L.Items([(i, " ".join(sentence(r) for _ in range(4))) for i in range(12)])
+    some = np.ones(len(items.vocab), bool)
+    space = np.random.default_rng(1).standard_normal((len(some), L.RANK)).astype(np.float32)
+    text = " ".join(" ".join(r.choice(NAMES) for _ in range(3)) + " zq" * 20 for _ in range(14_000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array([text] * 20)], names=["doc", "text"])
+    tracemalloc.start()
+    try:
+        for _ in L._searcher([(items, some, some, space)], 1 / 3)(iter([batch])):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 8 * batch.nbytes
+
+
+def test_pieces_keep_passages(monkeypatch):
+    monkeypatch.setattr(L, "PIECE", 64)
+    texts = [np.arange(n) % 7 for n in (0, 5, 64, 80, 81, 96, 97, 300)]
+    keep = np.ones(7, bool)
+    whole = [(o, s) for o, s in zip(*[x.tolist() for x in L.passages(texts, keep)[2:]], strict=True)]
+    cut = []
+    for group in L.pieces(texts):
+        assert sum(len(x) for _, _, x in group) <= 80
+        _, _, owner, start = L.passages([x for _, _, x in group], keep)
+        cut += [(group[o][0], group[o][1] + s) for o, s in zip(owner.tolist(), start.tolist(), strict=True)]
+    assert cut == whole
+
+
+def test_few_shared_triples():
+    """Documents that share triples with items, but none of them enough."""
+    item = np.arange(40)
+    index = L.TripleIndex([frozenset(L._triples(item, 40))], 40)
+    assert index.shared([item[:5], item[20:24]], np.array([6.0])) == {}
