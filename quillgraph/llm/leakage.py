@@ -145,6 +145,18 @@ def gather(rows: np.ndarray, cols: np.ndarray, matrix: np.ndarray) -> tuple[np.n
     return rows[first], np.add.reduceat(matrix[cols], first, axis=0)
 
 
+def sums(rows: np.ndarray, cols: np.ndarray, matrix: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the matrix rows of the words of each of ``n`` cells; ``rows`` sorted.  The k-th words of all cells are added at once."""
+    out = np.zeros((n, matrix.shape[1]), matrix.dtype)
+    if len(rows):
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        order = np.argsort(rank, kind="stable")
+        ends = np.cumsum(np.bincount(rank))
+        for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            out[rows[order[lo:hi]]] += matrix[cols[order[lo:hi]]]
+    return out
+
+
 class Items:
     """One block of evaluation items as word ids, with what verification needs."""
 
@@ -311,8 +323,11 @@ def content_positions(item: np.ndarray, keep: np.ndarray) -> dict[int, list[int]
     return where
 
 
-def reproduced(item: list[int], doc: list[int], where: dict[int, list[int]]) -> tuple[int, int, int]:
-    """(words of the item found in order in one passage of ``doc``, start, end of the passage); ``where``: the item's content words."""
+def reproduced(item: list[int], doc: list[int], where: dict[int, list[int]], least: float = 0) -> tuple[int, int, int]:
+    """(words of the item found in order in one passage of ``doc``, start, end of the passage); ``where``: the item's content words.
+
+    No word counts if both sides of the passage are too short for ``least`` words.
+    """
     chain = _anchors(where, doc)
     if not chain:
         return 0, 0, 0
@@ -343,6 +358,8 @@ def reproduced(item: list[int], doc: list[int], where: dict[int, list[int]]) ->
 
     i0, j0 = extend(i0, j0, -1)
     i1, j1 = extend(i1, j1, 1)
+    if min(i1 - i0, j1 - j0) + 1 < least:
+        return 0, j0, j1 + 1
     return common_subsequence(item[i0:i1 + 1], doc[j0:j1 + 1]), j0, j1 + 1
 
 
@@ -428,17 +445,22 @@ class TripleIndex:
         return out
 
 
-def _flat(sets: list[frozenset]) -> tuple[np.ndarray, np.ndarray]:
-    """Sets of words one behind the other, and where each begins (one more at the end)."""
-    return np.array([w for x in sets for w in x], np.int64), np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+class WordIndex:
+    """Sets of words by word."""
 
+    def __init__(self, sets: list[frozenset[int]], base: int):
+        word = np.array([w for x in sets for w in x], np.int64)
+        order = np.argsort(word, kind="stable")
+        self.first = np.searchsorted(word[order], np.arange(base + 1))
+        self.owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
+        self.size = np.array([len(x) for x in sets], np.int64)
 
-def _held(holds: np.ndarray, d: np.ndarray, i: np.ndarray, flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each (document, set): how many of the set's words the document holds, and how many there are."""
-    n = first[i + 1] - first[i]
-    row = np.repeat(np.arange(len(d)), n)
-    at = np.repeat(first[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return np.bincount(row, holds[d[row], flat[at]], minlength=len(d)), n
+    def held(self, doc: np.ndarray, word: np.ndarray, n_docs: int) -> np.ndarray:
+        """Documents by sets: how many words of the set the document holds; (doc, word) without repeats."""
+        n = self.first[word + 1] - self.first[word]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.first[word], n)
+        pair = np.repeat(doc, n) * len(self.size) + self.owner[at]
+        return np.bincount(pair, minlength=n_docs * len(self.size)).reshape(n_docs, -1)
 
 
 class Search:
@@ -459,10 +481,10 @@ class Search:
         self.where = [content_positions(x, content) for x in items.coded]
         self.rare = [x[content[x]] for x in items.coded]
         self.rare_sets = [frozenset(x.tolist()) for x in self.rare]
-        self.rare_flat, self.rare_first = _flat(self.rare_sets)
+        self.rare_index = WordIndex(self.rare_sets, self.base)
         self.answers = [[items.vocab[w] for w in a] for a in items.answers]
         self.answer_sets = [frozenset(a) for a in self.answers]
-        self.answer_flat, self.answer_first = _flat(self.answer_sets)
+        self.answer_index = WordIndex(self.answer_sets, self.base)
         self.need = np.array([MIN_PARAPHRASE * len(x) for x in self.rare])
         self.repeats = np.array([len(x) - len(y) for x, y in zip(self.rare, self.rare_sets, strict=True)])
         self.reach = [len(x) + len(x) // 3 for x in items.coded]
@@ -472,45 +494,51 @@ class Search:
         """(document, item, words, share, answer) of every leak; documents and items by position."""
         coded = [self.items.codes(x) for x in tokens]
         literal = self.index.shared(coded, self.least)
-        near = self._near(coded)
+        wanted = may = self._may_paraphrase(coded)
+        if literal:
+            wanted = may.copy()
+            wanted[tuple(np.array(list(literal)).T)] = True
+        near = self._near(coded, wanted)
         for pair, starts in literal.items():
             hit = self._literal(pair, coded[pair[0]], starts, near.get(pair))
             if hit:
                 yield *pair, *hit
         around: dict[tuple[int, int], frozenset] = {}
-        for pair in self._may_paraphrase(coded, [p for p in near if p not in literal]):
-            hit = self._paraphrase(pair, coded[pair[0]], near[pair], around)
+        for pair, starts in near.items():
+            if pair in literal or not may[pair]:
+                continue
+            hit = self._paraphrase(pair, coded[pair[0]], starts, around)
             if hit:
                 yield *pair, *hit
 
-    def _may_paraphrase(self, coded: list[np.ndarray], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """The pairs whose document holds enough of the item's content words, or its whole answer: a bound that loses nothing."""
-        if not pairs:
-            return []
-        d, i = np.array(pairs).T
+    def _may_paraphrase(self, coded: list[np.ndarray]) -> np.ndarray:
+        """Documents by items: whether the document holds enough of the item's content words, or its whole answer: a bound that loses nothing."""
         holds = np.zeros((len(coded), self.base), bool)
         for k, x in enumerate(coded):
             holds[k, x[x >= 0]] = True
-        rare, _ = _held(holds, d, i, self.rare_flat, self.rare_first)
-        told, n = _held(holds, d, i, self.answer_flat, self.answer_first)
-        ok = (rare > 0) & (rare + self.repeats[i] >= self.need[i]) | (n > 0) & (told == n)
-        return [p for p, k in zip(pairs, ok.tolist(), strict=True) if k]
-
-    def _near(self, coded: list[np.ndarray]) -> dict[tuple[int, int], list[int]]:
-        """Starts of the passages whose cosine with a passage of the item is above the threshold, by (document, item)."""
+        doc, word = np.nonzero(holds)
+        rare = self.rare_index.held(doc, word, len(coded))
+        told = self.answer_index.held(doc, word, len(coded))
+        n = self.answer_index.size
+        return (rare > 0) & (rare + self.repeats >= self.need) | (n > 0) & (told == n)
+
+    def _near(self, coded: list[np.ndarray], wanted: np.ndarray) -> dict[tuple[int, int], list[int]]:
+        """Starts of the passages whose cosine with a passage of the item is above the threshold, by (document, item), of the wanted pairs."""
         near: dict[tuple[int, int], list[int]] = {}
-        for group in pieces(coded):
+        docs = np.flatnonzero(wanted.any(axis=1)).tolist()  # the others need no vectors
+        for group in pieces([coded[d] for d in docs]):
             piece, start, z = self._project([x for _, _, x in group])
             norm = np.linalg.norm(z, axis=1)
             strong = np.flatnonzero(norm > MIN_COSINE * self.damp)  # a weaker passage can't reach the threshold
             z = z[strong] / np.maximum(norm[strong], self.damp)[:, None]
-            doc_of = np.array([k for k, _, _ in group], np.int64)[piece]
+            doc_of = np.array([docs[k] for k, _, _ in group], np.int64)[piece]
             start = start + np.array([lo for _, lo, _ in group], np.int64)[piece]
             for lo in range(0, len(z), 2048):
                 score = z[lo:lo + 2048] @ self.queries
                 p, q = np.divmod(np.flatnonzero(score > MIN_COSINE), score.shape[1])
                 h, i = strong[lo + p], self.owner[q]
-                for d, s, k in zip(doc_of[h].tolist(), start[h].tolist(), i.tolist(), strict=True):
+                ok = wanted[doc_of[h], i]
+                for d, s, k in zip(doc_of[h[ok]].tolist(), start[h[ok]].tolist(), i[ok].tolist(), strict=True):
                     near.setdefault((d, k), []).append(s)
         return near
 
@@ -523,9 +551,7 @@ class Search:
         flat = np.concatenate(coded) if len(coded) else np.zeros(0, np.int32)
         pos = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
         ok = np.flatnonzero((flat >= 0) & self.keep[np.maximum(flat, 0)])
-        have, sums = gather((np.repeat(base, lens) + pos // STEP)[ok], flat[ok], self.space)
-        cells = np.zeros((int(n_cells.sum()), self.space.shape[1]), np.float32)
-        cells[have] = sums
+        cells = sums((np.repeat(base, lens) + pos // STEP)[ok], flat[ok], self.space, int(n_cells.sum()))
         k = np.arange(n_pass.sum()) - np.repeat(np.cumsum(n_pass) - n_pass, n_pass)
         first = np.repeat(base, n_pass) + k
         return np.repeat(np.arange(len(coded)), n_pass), k * STEP, cells[first] + cells[first + 1]
@@ -537,17 +563,21 @@ class Search:
     def _literal(self, pair: tuple[int, int], doc: np.ndarray, shared: list[int], near: list[int] | None) -> tuple[int, float, bool] | None:
         """``shared``: sorted positions of the shared triples."""
         i = pair[1]
-        item, best, done = self.items.coded[i], (0, 0, 0), -1
+        item, best, done, seen = self.items.coded[i], (0, 0, 0), -1, None
+        least = self.min_share * len(item)
         for s in sorted({*shared, *(near or ())}):
             if s < done:
                 continue
             lo, hi = max(0, s - self.reach[i]), min(len(doc), s + WINDOW + self.reach[i])
             done = s + WINDOW
+            if seen == (lo, hi):  # a short document is one window
+                continue
+            seen = lo, hi
             if bisect_left(shared, hi - 2) - bisect_left(shared, lo) < self.least[i]:
                 continue
             part = doc[lo:hi]
-            n, a, e = reproduced(self.lists[i], part.tolist(), self.where[i])
-            if n > best[0] and (near is not None or telling(item, part[a:e], self.content, self.min_share)):
+            n, a, e = reproduced(self.lists[i], part.tolist(), self.where[i], least)
+            if n >= least and n > best[0] and (near is not None or telling(item, part[a:e], self.content, self.min_share)):
                 best = (n, lo + a, lo + e)
         return self._leak(i, doc, best)
 
@@ -570,7 +600,7 @@ class Search:
                 continue
             lo, hi = max(0, s - self.reach[i]), min(len(doc), s + WINDOW + self.reach[i])
             part = doc[lo:hi]
-            n, a, e = reproduced(self.lists[i], part.tolist(), self.where[i])
+            n, a, e = reproduced(self.lists[i], part.tolist(), self.where[i], self.min_share * len(item))
             if n > best[0] and n >= self.min_share * len(item):
                 inside = part[a:e]
                 known = inside[inside >= 0]

@@ -263,3 +263,29 @@ def test_few_shared_triples():
     item = np.arange(40)
     index = L.TripleIndex([frozenset(L._triples(item, 40))], 40)
     assert index.shared([item[:5], item[20:24]], np.array([6.0])) == {}
+
+
+def test_vectors_only_for_documents_that_can_hold_an_item(monkeypatch):
+    docs, items, _ = corpus()
+    items = L.Items(items)
+    some = np.ones(len(items.vocab), bool)
+    search = L.Search(items, some, some, np.random.default_rng(1).standard_normal((len(some), L.RANK)).astype(np.float32), 1 / 3)
+    seen = []
+    project = L.Search._project
+    monkeypatch.setattr(L.Search, "_project", lambda self, coded: seen.append(len(coded)) or project(self, coded))
+    assert not list(search.leaks([["zq"] * 90, []])) and not seen
+    full = items.words[3]
+    assert {x[:2] for x in search.leaks([["zq"] * 90, full, []])} >= {(1, 3)} and seen == [1]
+
+
+def test_word_index_and_sums():
+    r = np.random.default_rng(9)
+    sets = [frozenset(r.integers(0, 12, n).tolist()) for n in (0, 3, 8, 20)]
+    holds = r.random((5, 12)) < 0.4
+    got = L.WordIndex(sets, 12).held(*np.nonzero(holds), 5)
+    assert got.tolist() == [[sum(h[w] for w in x) for x in sets] for h in holds]
+    rows_, cols = np.sort(r.integers(0, 9, 40)), r.integers(0, 12, 40)
+    matrix = r.standard_normal((12, 4)).astype(np.float32)
+    want = np.zeros((9, 4), np.float32)
+    np.add.at(want, rows_, matrix[cols])
+    assert np.allclose(L.sums(rows_, cols, matrix, 9), want, atol=1e-5)
