@@ -114,3 +114,61 @@ def test_shortest_path_has_no_depth_limit(spark):
     chain = spark.createDataFrame([(f"n{k:02}", f"n{k + 1:02}") for k in range(14)] + [("x", "y")], "src string, dst string")
     pairs = spark.createDataFrame([("n00", "n14"), ("n00", "x")], "a string, b string")
     assert [(r.b, r.hops) for r in G.shortest_paths(pairs, chain).collect()] == [("n14", 14)]
+
+
+def _paths_by_hand(links, pairs):
+    near = {}
+    for x, y in links:
+        if x != y:
+            near.setdefault(x, set()).add(y)
+            near.setdefault(y, set()).add(x)
+    found = []
+    for a, b in pairs:
+        level, seen = {a: [a]}, {a}
+        while level and b not in level:
+            ahead = {}
+            for n, p in level.items():
+                for m in near.get(n, ()):
+                    if m not in seen and (m not in ahead or p + [m] < ahead[m]):
+                        ahead[m] = p + [m]
+            level, seen = ahead, seen | ahead.keys()
+        if b in level:
+            found.append((a, b, len(level[b]) - 1, level[b]))
+    return sorted(found)
+
+
+def test_shortest_paths_against_search_by_hand(spark):
+    rnd = random.Random(3)
+    names = [f"n{k:02}" for k in range(60)]
+    links = [(rnd.choice(names[:40]), rnd.choice(names[:40])) for _ in range(48)] + [(rnd.choice(names[40:]), rnd.choice(names[40:])) for _ in range(22)]
+    pairs = sorted({(rnd.choice(names), rnd.choice(names)) for _ in range(60)} | {(n, names[0]) for n in names} | {(names[1], n) for n in names})
+    p, e = spark.createDataFrame(pairs, "a string, b string"), spark.createDataFrame(links, "src string, dst string")
+    want = _paths_by_hand(links, pairs)
+    assert max(w[2] for w in want) > 4
+    for most in (None, 1, 3):
+        got = sorted((r.a, r.b, r.hops, r.path) for r in G.shortest_paths(p, e, most).collect())
+        assert got == [w for w in want if most is None or w[2] <= most]
+
+
+def test_shortest_path_query_is_not_quadratic_in_siblings(spark, monkeypatch):
+    from quillgraph.plans import graph_queries as P
+    from quillgraph.session import Scratch
+
+    links = [("r", f"k{k:03}") for k in range(300)] + [("k000", "z"), ("z", "zz"), ("zz", "zzz")]
+    links += [("u", "v"), ("v", "w"), ("t", "w"), ("w", "x"), ("x", "y"), ("u", "y0"), ("c", "d"), ("d", "c"), ("d", "f")]  # w has two parents; c and d are a circle
+    edges = spark.createDataFrame(links, "src string, dst string").withColumn("relation", F.lit("is_a"))
+    monkeypatch.setattr(P.star, "edges", lambda *_: edges)
+    rows_kept, keep = [], Scratch.keep
+
+    def counted(self, df):
+        out = keep(self, df)
+        rows_kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    got = sorted((r.a, r.b, r.hops, r.path.split(">")) for r in P.shortest_path(spark, "").collect())
+    kids = [f"k{k:03}" for k in range(300)]
+    pairs = list(zip(kids, kids[1:])) + [(k, "r") for k in kids] + [("z", "r"), ("zz", "r"), ("zzz", "r")]
+    pairs += [("v", "y0"), ("c", "f"), ("v", "u"), ("y0", "u"), *[(x, "t") for x in "wxy"]]
+    assert got == _paths_by_hand(links, pairs)
+    assert max(rows_kept) <= 2 * len(links)
