@@ -37,3 +37,35 @@ def test_trees_and_models(spark):
     assert [len(r.vector) for r in S.embed(d, "id", "text").collect()] == [64] * 3
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [-1.0, 0.0])], "id bigint, vector array<double>")
     assert S.most_similar(v, [0], [3], 1).first().id == 2
+
+
+def test_flatten_graph_does_not_carry_every_place_of_a_subject(spark, monkeypatch):
+    import random
+
+    from quillgraph.sinks import merge as M
+
+    rnd = random.Random(5)
+    loc = [(f"n{rnd.randrange(30)}", f"p{rnd.randrange(50)}") for _ in range(400)] + [(f"n{k}", "crowd") for k in range(30)] + [("n1", None), (None, "p1"), ("other", "p2")]
+    links = [(f"n{rnd.randrange(33)}", rnd.choice(["x", "y", None]), f"n{rnd.randrange(33)}") for _ in range(90)] + [("n3", "self", "n3"), (None, "x", "n1")]
+    loc += loc[:50]
+    monkeypatch.setattr(M, "CROWD", 25)
+    monkeypatch.setattr(M, "PAIRS_AT_ONCE", 40)
+    monkeypatch.setattr(M, "ROWS_OUT", 3)
+    got = M.flatten_graph(spark.createDataFrame(loc, "name string, pmid string"), spark.createDataFrame(links, "subject string, predicate string, object string"))
+    there = {x for x in loc if None not in x}
+    want = {(s, p, o, d) for s, p, o in links for d in {d for _, d in there} if (s, d) in there and (o, d) in there}
+    assert sorted(map(str, got.collect())) == sorted(f"Row(subject={s!r}, predicate={p!r}, object={o!r}, pmid={d!r})" for s, p, o, d in want)
+    # a subject and an object of one link in many places, never in the same one: no candidate may leave the search
+    apart = spark.createDataFrame([("a", f"p{k}") for k in range(3000)] + [("b", f"q{k}") for k in range(3000)], "name string, pmid string")
+    rows_met, pairer = spark.sparkContext.accumulator(0), M._pairer
+
+    def counted(*args):
+        def run(batches):
+            for b in pairer(*args)(batches):
+                rows_met.add(b.num_rows)
+                yield b
+        return run
+
+    monkeypatch.setattr(M, "_pairer", counted)
+    assert M.flatten_graph(apart, spark.createDataFrame([("a", "x", "b")], "subject string, predicate string, object string")).count() == 0
+    assert rows_met.value < 3000
